@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
+from . import mixing, packing, token_files, url_filters
 
 
 def queries():
     return {
         "op1_url_filters": url_filters.op1_url_filters,
+        "op4_token_files": token_files.op4_token_files,
         "op5_mixing": mixing.op5_mixing,
+        "op8_packing": packing.op8_packing,
     }
 
 
