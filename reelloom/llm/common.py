@@ -41,3 +41,12 @@ def words(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+#: A kept table of at most so many rows may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """kept, a table that cut() returned, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

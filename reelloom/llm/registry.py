@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files, url_filters
+from . import mixing, packing, quality, simhash, token_files, url_filters
 
 
 def queries():
@@ -10,7 +10,9 @@ def queries():
         "op1_url_filters": url_filters.op1_url_filters,
         "op4_token_files": token_files.op4_token_files,
         "op5_mixing": mixing.op5_mixing,
+        "op7_simhash": simhash.op7_simhash,
         "op8_packing": packing.op8_packing,
+        "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
