@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, token_files, url_filters
+from . import line_dedup, mixing, packing, quality, simhash, token_files, url_filters
 
 
 def queries():
     return {
         "op1_url_filters": url_filters.op1_url_filters,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op4_token_files": token_files.op4_token_files,
         "op5_mixing": mixing.op5_mixing,
         "op7_simhash": simhash.op7_simhash,
@@ -19,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_url_filters": url_filters.OP1_SQL,
+        "op2_line_dedup": line_dedup.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
     }
