@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality, simhash, token_files, url_filters
+from . import line_dedup, mixing, packing, pii, quality, simhash, token_files, url_filters
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_mixing": mixing.op5_mixing,
         "op7_simhash": simhash.op7_simhash,
         "op8_packing": packing.op8_packing,
+        "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
