@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, pii, quality, simhash, token_files, url_filters
+from . import language_id, line_dedup, mixing, packing, pii, quality, simhash, token_files, url_filters
 
 
 def queries():
     return {
         "op1_url_filters": url_filters.op1_url_filters,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op4_token_files": token_files.op4_token_files,
         "op5_mixing": mixing.op5_mixing,
         "op7_simhash": simhash.op7_simhash,
