@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, pii, quality, simhash, token_files, url_filters
+from . import language_id, line_dedup, mixing, packing, pii, quality, simhash, token_files, topk, url_filters
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_language_id": language_id.op3_language_id,
         "op4_token_files": token_files.op4_token_files,
         "op5_mixing": mixing.op5_mixing,
+        "op6_topk": topk.op6_topk,
         "op7_simhash": simhash.op7_simhash,
         "op8_packing": packing.op8_packing,
         "op9_pii": pii.op9_pii,
@@ -24,4 +25,5 @@ def oracle_sql():
         "op1_url_filters": url_filters.OP1_SQL,
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
+        "op6_topk": topk.OP6_SQL,
     }
