@@ -64,18 +64,25 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, missing, fp."""
+    """doc_id, key (a hash of the text, 0 for null) and fp of every row."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], "i8")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "missing": pdf["missing"], "fp": fp})
+            yield pdf.drop(columns="text").assign(fp=fp)
 
     source = docs.select(
-        F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("missing"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"),
+        F.col("doc_id").isNull().alias("missing"),
+        text_key().alias("key"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    found = source.mapInPandas(task, "doc_id long, missing boolean, fp long")
-    return found.select(F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id"), "fp")
+    found = source.mapInPandas(task, "doc_id long, missing boolean, key long, fp long")
+    return found.select(F.when(~F.col("missing"), F.col("doc_id")).alias("doc_id"), "key", "fp")
+
+
+def text_key() -> Column:
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
 
 
 def _masks(radius: int) -> list[int]:
@@ -123,3 +130,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of docs, one of each component: the least doc_id, then the least text hash; all columns kept.
+
+    Rows with that doc_id and text that are alike in full stay once. A component without any
+    doc_id keeps the row of the least text hash. Only ids and hashes are shuffled to choose.
+    """
+    marked = cut(fingerprints(docs, shingle))
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    graph = components(links(classes.select("fp"), radius, blocks))
+    named = classes.join(graph, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("root"))
+    rooted = marked.join(named, F.col("fp") == F.col("class_fp"))
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    stays = chosen.select(F.col("least.doc_id").alias("_s_doc"), F.col("least.key").alias("_s_key"))
+    own = docs.withColumn("_s_own", text_key())
+    kept = own.join(stays, F.col("doc_id").eqNullSafe(F.col("_s_doc")) & (F.col("_s_own") == F.col("_s_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_s_own"]).drop("_s_own")
