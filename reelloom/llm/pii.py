@@ -159,10 +159,14 @@ def bootstrap(docs: DataFrame, found: DataFrame, rounds: int, support: int, conf
     edges = cut(uses.groupBy("ctx", "k", "m").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     able = edges.groupBy("ctx", "k").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("ctx", "k")
     graph = cut(edges.join(able, ["ctx", "k"]))
-    contexts = cut(graph.select("ctx").distinct())
+    contexts = cut(graph.groupBy("ctx").agg(F.sum("n").alias("led")))
     if contexts.isEmpty():
         return None
-    totals = cut(context_counts(docs, contexts))
+    # Common words first: what the documents that can hold an entity show is a bound from below on the total,
+    # and words seen there too often to be confident, whatever is believed later, need no count elsewhere.
+    early = context_counts(docs.filter(F.col("text").rlike("[0-9@]")), contexts.select("ctx"))
+    able = contexts.join(early, "ctx", "left").filter(confident * F.coalesce("total", F.lit(0)) <= F.col("led")).select("ctx")
+    totals = cut(context_counts(docs, cut(able)))
     weighed = cut(graph.join(totals, "ctx"))
     belief = edges.groupBy("k", "m").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(rounds):
