@@ -18,7 +18,8 @@ def _match(text: Column) -> tuple[Column, Column]:
     return hit, rank
 
 
-ORDER = ["rank", F.length("key"), F.col("year").desc_nulls_last(), F.col("title"), F.col("id")]
+def _order() -> list[Column]:
+    return [F.col("rank"), F.length("key"), F.col("year").desc_nulls_last(), F.col("title"), F.col("id")]
 
 
 def search(titles: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
@@ -30,7 +31,7 @@ def search(titles: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     found = titles.filter(hit)
     if parts.year is not None:
         found = found.filter(F.col("year") == parts.year)
-    return found.withColumn("rank", rank).orderBy(*ORDER).limit(limit).select("id", "title", "year", "rank")
+    return found.withColumn("rank", rank).orderBy(*_order()).limit(limit).select("id", "title", "year", "rank")
 
 
 def batch_search(titles: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -54,7 +55,7 @@ def batch_search(titles: DataFrame, queries: DataFrame, limit: int = LIMIT) -> D
     hit, rank = _match(F.col("text"))
     met = cut.join(probes, "piece").filter(hit & (F.col("q_year").isNull() | (F.col("q_year") == F.col("year"))))
     found = met.select("query_id", "id", "title", "key", "year", rank.alias("rank")).distinct()
-    w = Window.partitionBy("query_id").orderBy(*ORDER)
+    w = Window.partitionBy("query_id").orderBy(*_order())
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit).select("query_id", "place", "id", "rank")
 
 

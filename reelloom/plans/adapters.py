@@ -81,7 +81,7 @@ def guess_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "user_id", week.cast("string")).alias("session_id"),
         week.alias("game_date"),
         F.col("event_id").alias("seq"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "signup", "unlock").when(F.col("event_type") == "error", "lifeline").otherwise("guess").alias("kind"),
         F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(40)).cast("int").alias("pool_index"),
         F.when(asked == 7, "budget").otherwise(F.element_at(F.array(*map(F.lit, ATTRIBUTES)), (F.least(asked, F.lit(6)) + 1).cast("int"))).alias("attribute"),
@@ -125,7 +125,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(2000) + F.pmod("user_id", F.lit(24))).cast("int").alias("year"),
         F.concat(F.lit("Work "), F.col("user_id")).alias("name"),
         F.col("event_id").alias("seq"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         outcome.alias("outcome"),
         F.when(outcome == "failed", F.col("props")).alias("error"),
     )
