@@ -89,7 +89,7 @@ def split_values(c: Column) -> Column:
 def split_camel_run(c: Column) -> Column:
     """C6."""
     text = clean_text(c)
-    parts = F.filter(F.transform(F.split(text, "(?<=[a-z])(?=[A-Z])"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "(?<=[a-z])(?=[A-Z])"), lambda x: F.trim(x)), lambda x: x != "")
     return parts
 
 
@@ -132,13 +132,13 @@ def dedupe_names(values: Column) -> Column:
 
 def multi_values(c: Column) -> Column:
     """S3: a pipe string as trimmed, non-empty values, each once whatever its case."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return ordered_distinct(parts, F.transform(parts, F.lower))
 
 
 def plain_values(c: Column) -> Column:
     """As S3, repeats kept."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_year(c: Column, above: int = 1900, below: int = 2100) -> Column:

@@ -8,13 +8,16 @@ purchase of clues, where each depends on the one before, folds a session in a gr
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .comparison import ARRAYS, ATTRIBUTES, attribute_values, compare, revealed, shared_values, side
 
 BASE, BONUS, FIRST_CLUE, SECOND_CLUE, MOST_CLUES = 7, 3, 4, 6, 2
-SESSION = Window.partitionBy("session_id")
+
+
+def _session() -> WindowSpec:
+    return Window.partitionBy("session_id")
 
 
 def replay(events: DataFrame, known: DataFrame, mystery: DataFrame) -> DataFrame:
@@ -30,26 +33,26 @@ def replay(events: DataFrame, known: DataFrame, mystery: DataFrame) -> DataFrame
         .withColumn("usable", (F.col("kind") == "guess") & F.coalesce("exists", F.lit(False)))
     )
     by_work = Window.partitionBy("session_id", "usable", "pool_index").orderBy("seq")
-    upto = SESSION.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    upto = _session().orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     one = e.withColumn("fresh", F.col("usable") & (F.row_number().over(by_work) == 1))
     one = one.withColumn("r1", F.when(F.col("fresh"), F.sum(F.col("fresh").cast("int")).over(upto)))
-    hit1 = F.min(F.when(F.col("correct") & (F.col("r1") <= BASE), F.col("seq"))).over(SESSION)
+    hit1 = F.min(F.when(F.col("correct") & (F.col("r1") <= BASE), F.col("seq"))).over(_session())
     one = one.withColumn("hit1", hit1)
     one = one.withColumn("a1", F.coalesce((F.col("r1") <= BASE) & (F.col("hit1").isNull() | (F.col("seq") <= F.col("hit1"))), F.lit(False)))
-    one = one.withColumn("t7", F.when(F.col("hit1").isNull(), F.min(F.when(F.col("a1") & (F.col("r1") == BASE), F.col("seq"))).over(SESSION)))
-    one = one.withColumn("bonus_seq", F.min(F.when((F.col("kind") == "unlock") & (F.col("seq") > F.col("t7")), F.col("seq"))).over(SESSION))
+    one = one.withColumn("t7", F.when(F.col("hit1").isNull(), F.min(F.when(F.col("a1") & (F.col("r1") == BASE), F.col("seq"))).over(_session())))
+    one = one.withColumn("bonus_seq", F.min(F.when((F.col("kind") == "unlock") & (F.col("seq") > F.col("t7")), F.col("seq"))).over(_session()))
     taken1 = F.max(F.col("a1").cast("int")).over(Window.partitionBy("session_id", "usable", "pool_index")) == 1
     two = one.withColumn("late", F.col("usable") & F.coalesce(F.col("seq") > F.col("bonus_seq"), F.lit(False)) & ~taken1)
     by_late = Window.partitionBy("session_id", "late", "pool_index").orderBy("seq")
     two = two.withColumn("fresh2", F.col("late") & (F.row_number().over(by_late) == 1))
     two = two.withColumn("r2", F.when(F.col("fresh2"), F.sum(F.col("fresh2").cast("int")).over(upto)))
-    two = two.withColumn("hit2", F.min(F.when(F.col("correct") & (F.col("r2") <= BONUS), F.col("seq"))).over(SESSION))
+    two = two.withColumn("hit2", F.min(F.when(F.col("correct") & (F.col("r2") <= BONUS), F.col("seq"))).over(_session()))
     two = two.withColumn("a2", F.coalesce((F.col("r2") <= BONUS) & (F.col("hit2").isNull() | (F.col("seq") <= F.col("hit2"))), F.lit(False)))
-    spent = F.min(F.when(F.col("a2") & (F.col("r2") == BONUS), F.col("seq"))).over(SESSION)
+    spent = F.min(F.when(F.col("a2") & (F.col("r2") == BONUS), F.col("seq"))).over(_session())
     two = two.withColumn("done_seq", F.coalesce("hit1", "hit2", spent))
     attempt = F.when(F.col("a1"), F.col("r1")).when(F.col("a2"), F.col("r2") + BASE).cast("int")
     three = two.withColumn("attempt", attempt)
-    three = three.withColumn("used_before", F.coalesce(F.count("attempt").over(SESSION.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    three = three.withColumn("used_before", F.coalesce(F.count("attempt").over(_session().orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     after = F.coalesce(F.col("seq") > F.col("done_seq"), F.lit(False))
     dry = F.coalesce((F.col("seq") > F.col("t7")) & (F.col("bonus_seq").isNull() | (F.col("seq") < F.col("bonus_seq"))), F.lit(False))
     refused_guess = F.when(after, "game_complete").when(dry, "no_attempts").when(F.col("exists").isNull(), "movie_not_found").otherwise("duplicate_guess")
@@ -91,7 +94,7 @@ def sessions(replayed: DataFrame) -> DataFrame:
         unlocked.alias("bonus_unlocked"),
         (~unlocked & (F.col("used") >= BASE) & (status != "won")).alias("bonus_available"),
         lifelines_unlocked(F.col("used")).alias("lifelines_unlocked"),
-        seconds.cast("long").alias("duration_seconds"),
+        F.when(F.col("completed_at").isNotNull(), seconds.cast("long")).alias("duration_seconds"),
         "refused",
     )
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, logs
+from . import catalogue, logs, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [catalogue, logs]
+MODULES = [catalogue, logs, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
