@@ -27,7 +27,7 @@ from .common import table
 #: Bounds of the training sample: documents of each language, windows of each document, bytes of each window.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 256, 4, 64
 MOST_LANGS = 64
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 16, 256, 0.02, 7
+HIDDEN, STEPS, BATCH, RATE, SEED = 8, 256, 256, 0.02, 7
 SEGMENT, CONTEXT, LANES = 240, 8, 2048
 
 
@@ -116,36 +116,37 @@ class ByteLabeller:
         scores /= scores.sum(axis=1, keepdims=True)
         return scores
 
-    def train(self, data: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> None:
-        """data (samples, steps) of bytes, target (samples,) of languages: cross-entropy at every position, Adam."""
+    def train(self, data: np.ndarray, target: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> None:
+        """data (samples, steps) of bytes, target (samples,) of languages: cross-entropy at every position, Adam.
+
+        The number of steps does not depend on the sample; languages are drawn alike, however many windows they have.
+        """
         rng = np.random.default_rng(seed)
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
-        count, total = 0, epochs * -(-len(data) // batch)
-        for _ in range(epochs):
-            order = rng.permutation(len(data))
-            for lo in range(0, len(data), batch):
-                rows = order[lo : lo + batch]
-                x, y = np.ascontiguousarray(data[rows].T), target[rows]
-                kept_f, kept_b = [], []
-                f = self.forward.run(x, kept_f)
-                b = self.backward.run(x[::-1], kept_b)[::-1]
-                both = np.concatenate([f, b], axis=1)
-                error = self.label(f, b)
-                error[:, y, np.arange(len(rows))] -= 1
-                error /= error.shape[0] * error.shape[2]
-                d_out = np.einsum("tlb,tsb->ls", error, both)
-                d_bias = error.sum((0, 2))[:, None]
-                grad = np.matmul(self.out.T, error)
-                n = self.forward.inner.shape[1]
-                grads = [*self.forward.back(x, kept_f, grad[:, :n]), *self.backward.back(x[::-1], kept_b, grad[::-1, n:]), d_out, d_bias]
-                count += 1
-                step = rate * (1 - count / (total + 1))
-                for p, g, m, v in zip(self.parameters(), grads, first, second, strict=True):
-                    g = np.clip(g, -1, 1)
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= step * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-7)
+        chance = 1 / np.bincount(target)[target]
+        chance /= chance.sum()
+        for count in range(1, steps + 1):
+            rows = rng.choice(len(data), batch, p=chance)
+            x, y = np.ascontiguousarray(data[rows].T), target[rows]
+            kept_f, kept_b = [], []
+            f = self.forward.run(x, kept_f)
+            b = self.backward.run(x[::-1], kept_b)[::-1]
+            both = np.concatenate([f, b], axis=1)
+            error = self.label(f, b)
+            error[:, y, np.arange(len(rows))] -= 1
+            error /= error.shape[0] * error.shape[2]
+            d_out = np.einsum("tlb,tsb->ls", error, both)
+            d_bias = error.sum((0, 2))[:, None]
+            grad = np.matmul(self.out.T, error)
+            n = self.forward.inner.shape[1]
+            grads = [*self.forward.back(x, kept_f, grad[:, :n]), *self.backward.back(x[::-1], kept_b, grad[::-1, n:]), d_out, d_bias]
+            step = rate * (1 - count / (steps + 1))
+            for p, g, m, v in zip(self.parameters(), grads, first, second, strict=True):
+                g = np.clip(g, -1, 1)
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= step * (m / (1 - 0.9**count)) / (np.sqrt(v / (1 - 0.999**count)) + 1e-7)
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities (texts, langs) over the positions that hold letters."""
