@@ -142,12 +142,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "t", base.alias("base"), seen.alias("seen"))
 
 
+def bit_row(contexts: DataFrame) -> tuple[DataFrame, int]:
+    """One row, bits (array of 64-bit words with the bit of each ctx set), and the number of bits: 2 MB at most."""
+    size = 1 << min(24, max(16, (64 * contexts.count()).bit_length()))
+    word = F.shiftrightunsigned(F.col("ctx").bitwiseAND(F.lit(size - 1)), 6)
+    words = contexts.groupBy(word.alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(ctx & 63 as int)))").alias("b"))
+    every = contexts.sparkSession.range(size // 64).join(words, "id", "left")
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.col("x.b").alias("bits")), size
+
+
 def context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """ctx, total: how often each pair of words in contexts (ctx) stands in the corpus."""
-    spelled = docs.select(F.split(letters(F.coalesce("text", F.lit(""))), " ").alias("w"))
+    """ctx, total: how often each pair of words in contexts (ctx, kept) stands in the corpus.
+
+    A row's pairs pass a bit array first, inside the row, so that only those of the contexts, and few
+    others, become rows of their own; the join then decides.
+    """
+    bits, size = bit_row(contexts)
+    spelled = docs.select(F.split(letters(F.coalesce("text", F.lit(""))), " ").alias("w")).join(F.broadcast(cut(bits)), how="cross")  # one row
     rest = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.xxhash64(a, b))
-    places = spelled.select(F.explode(pairs).alias("ctx"))
+
+    def known(h: Column) -> Column:
+        word = F.shiftrightunsigned(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")
+        return F.bit_get(F.get("bits", word), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    places = spelled.select(F.explode(F.filter(pairs, known)).alias("ctx"))
     return places.join(broadcast_if_small(contexts), "ctx", "left_semi").groupBy("ctx").agg(F.count("*").alias("total"))
 
 
