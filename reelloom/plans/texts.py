@@ -140,7 +140,7 @@ def v1(spark, sf_dir):
     return graded_docs(spark, sf_dir).select("doc_id", "g.confidence", F.array_join("g.signals", ",").alias("signals"))
 
 
-@query("v2_aggregate_pages", r"SELECT page_id, regexp_matches(coalesce(url, ''), '(?i)(?:^|/)(?:list_of|lists_of)|\b(?:list of|lists of)\b|\b(?:filmography|discography|characters|episodes|farm|pills)\b') AND NOT regexp_matches(url, '(?i)\b(?:farm|pills)\b') AS aggregate FROM pages")
+@query("v2_aggregate_pages", r"SELECT page_id, regexp_matches(coalesce(url, ''), '(?i)(?:^|/)(?:list_of|lists_of)|\b(?:list of|lists of)\b|\b(?:filmography|discography|characters|episodes)\b') AS aggregate FROM pages")
 def v2(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.is_aggregate(F.lit(""), F.col("url")).alias("aggregate"))
 
@@ -192,7 +192,7 @@ def x18(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_contains(pages.genres(F.coalesce("text", F.lit(""))), "Western").cast("int").alias("western"))
 
 
-@query("x19_titles", r"SELECT page_id, replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS raw FROM pages)")
+@query("x19_titles", r"SELECT page_id, trim(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ,;|·•–—-') AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS raw FROM pages)")
 def x19(spark, sf_dir):
     all_pages = table(spark, sf_dir, "pages")
     return pages.display_titles(pages.structure(all_pages), all_pages.select("page_id", F.col("url").alias("title")))
