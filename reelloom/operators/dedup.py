@@ -74,6 +74,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], id_col: st
     return rest.select(*out).unionByName(ids.select(*out))
 
 
+#: The cuts of `number` are searched in two steps of about this many.
+STEP = 32
+
+
 def number(df: DataFrame, order: list[str], name: str = "id", bins: int = 1024) -> DataFrame:
     """Ids 1..n in the order of the columns, with no global sort in one task.
 
@@ -89,7 +93,13 @@ def number(df: DataFrame, order: list[str], name: str = "id", bins: int = 1024)
         place = F.conv(F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     placed = df.withColumn("_place", place)
     cuts = placed.agg(F.percentile_approx("_place", [i / bins for i in range(1, bins)], 10 * bins).alias("c")).withColumn("c", F.array_distinct("c"))
-    ranged = placed.join(F.broadcast(cuts), how="cross").withColumn("_bin", F.coalesce(F.size(F.filter("c", lambda e: e < F.col("_place"))), F.lit(0))).drop("c")  # one row of at most bins cuts
+    # How many cuts lie below a place: first among every STEP-th of them, then among the STEP that follow.
+    coarse = F.filter("c", lambda e, i: (i + 1) % STEP == 0)
+    cuts = cuts.withColumn("coarse", coarse)
+    ranged = placed.join(F.broadcast(cuts), how="cross")  # one row of at most bins cuts
+    ranged = ranged.withColumn("_k", F.coalesce(F.size(F.filter("coarse", lambda e: e < F.col("_place"))), F.lit(0)) * STEP)
+    near = F.size(F.filter(F.slice("c", F.col("_k") + 1, F.lit(STEP)), lambda e: e < F.col("_place")))
+    ranged = ranged.withColumn("_bin", F.col("_k") + F.coalesce(near, F.lit(0))).drop("c", "coarse", "_k")
     sizes = ranged.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
