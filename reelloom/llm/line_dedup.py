@@ -60,7 +60,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of docs, text without later occurrences; and _l_lines, _l_removed, line counts."""
+    """All columns of docs, text without later occurrences; and _l_removed, the number of lines lost."""
     lost = covered(docs.select("doc_id", "text")).withColumnsRenamed({"d": "_l_d", "t": "_l_t", "gone": "_l_gone"})
     joined = docs.withColumn("_l_key", F.xxhash64("text")).join(
         lost, F.col("doc_id").eqNullSafe(F.col("_l_d")) & (F.col("_l_key") == F.col("_l_t")) & F.col("text").isNotNull(), "left"
@@ -72,8 +72,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept = F.flatten(F.transform(spans, lambda s: F.slice("_l_all", s["b"] + 1, s["e"] - s["b"])))
     return (
         lines.withColumn("text", F.when(F.col("_l_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
-        .withColumn("_l_removed", F.coalesce(F.size("_l_gone"), F.lit(0)).cast("long"))
-        .withColumn("_l_removed", F.greatest("_l_removed", F.lit(0).cast("long")))
+        .withColumn("_l_removed", F.when(F.col("_l_gone").isNotNull(), F.size("_l_gone")).otherwise(0).cast("long"))
         .select(*docs.columns, "_l_removed")
     )
 
