@@ -14,7 +14,7 @@ from ..sources import files
 from ..streaming import jobs
 from ..session import table
 from .adapters import STAR_SQL, attempts, guess_events, key_sql, mysteries, pool, star
-from .logs import state
+from .logs import STATE_SQL, state
 
 Q, S = {}, {}
 
@@ -244,7 +244,7 @@ def s7g(spark, sf_dir):
     return files.normalised(catalogue(spark, sf_dir))["movie_genres"]
 
 
-@query("s8_failed_report")
+@query("s8_failed_report", STATE_SQL + r"SELECT name, year, url, attempts, regexp_replace(coalesce(last_error, ''), '[\r\n]+', ' ', 'g') AS error FROM queue WHERE status = 'failed'")
 def s8(spark, sf_dir):
     return files.failed_report(state(spark, sf_dir))
 
