@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedup import number
-
 
 def date_seed(date: Column, salt: str) -> Column:
     """The digest as hex; it does not fit a number."""
     return F.sha2(F.concat(F.lit(salt), F.lit("-"), date.cast("string")), 256)
 
 
-def shuffled(pool: DataFrame, salt: str, id_col: str = "movie_id") -> DataFrame:
-    """Pool in the order of sha256("salt:id"), place from 0, with no global sort in one task."""
+def _placed(pool: DataFrame, salt: str, id_col: str, digits: int) -> tuple[DataFrame, DataFrame]:
+    """pool with its digest and bin (the digest's first digits), and bin, before: counts of the bins before each.
+
+    Digests are uniform, so the bins are even and no task orders more than one of them.
+    """
     digest = pool.withColumn("digest", F.sha2(F.concat_ws(":", F.lit(salt), F.col(id_col)), 256))
-    return number(digest, ["digest"], "_p").withColumn("place", (F.col("_p") - 1).cast("long")).drop("_p", "digest")
+    binned = digest.withColumn("bin", F.substring("digest", 1, digits))
+    sizes = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** digits rows at most
+    return binned, sizes.select("bin", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+
+
+def shuffled(pool: DataFrame, salt: str, id_col: str = "movie_id", digits: int = 3) -> DataFrame:
+    """Pool in the order of sha256("salt:id"), place from 0, with no global sort in one task."""
+    binned, before = _placed(pool, salt, id_col, digits)
+    rank = F.row_number().over(Window.partitionBy("bin").orderBy("digest", id_col)) - 1
+    ranked = binned.withColumn("rank", rank).join(before, "bin")
+    return ranked.withColumn("place", (F.col("before") + F.col("rank")).cast("long")).drop("bin", "digest", "n", "before", "rank")
 
 
 def daily_picks(dates: DataFrame, pool: DataFrame, salt: str, epoch: str, id_col: str = "movie_id") -> DataFrame:
