@@ -136,14 +136,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bloc
     """The rows of docs, one of each component: the least doc_id, then the least text hash; all columns kept.
 
     Rows with that doc_id and text that are alike in full stay once. A component without any
-    doc_id keeps the row of the least text hash. Only ids and hashes are shuffled to choose.
+    doc_id keeps the row of the least text hash. Only ids and hashes are shuffled to choose, and each
+    fingerprint is one row before it meets its component, so copies make no hot key.
     """
-    marked = cut(fingerprints(docs, shingle))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = cut(fingerprints(docs, shingle).groupBy("fp").agg(F.min(row).alias("least")))
     graph = components(links(classes.select("fp"), radius, blocks))
-    named = classes.join(graph, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "fp").alias("root"))
-    rooted = marked.join(named, F.col("fp") == F.col("class_fp"))
-    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    rooted = classes.join(graph, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("least"))
     stays = chosen.select(F.col("least.doc_id").alias("_s_doc"), F.col("least.key").alias("_s_key"))
     own = docs.withColumn("_s_own", text_key())
     kept = own.join(stays, F.col("doc_id").eqNullSafe(F.col("_s_doc")) & (F.col("_s_own") == F.col("_s_key")), "left_semi")
