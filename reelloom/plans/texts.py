@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -114,6 +114,83 @@ def s3(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.multi_values(piped), "|").alias("parts"))
 
 
+# --- cleaning of the forms that the tables lack: each is spelled from a part's own columns ---
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+def by_type(promo: Column, small: Column, other: Column) -> Column:
+    return F.when(F.col("p_type") == "PROMO", promo).when(F.col("p_type") == "SMALL", small).otherwise(other)
+
+
+@query("c3_cross_references", "SELECT p_partkey, p_type IN ('PROMO', 'SMALL') AS elsewhere FROM part")
+def c3(spark, sf_dir):
+    stated = by_type(F.lit(" See below. "), F.lit("Various"), F.col("p_name"))
+    return parts(spark, sf_dir).select("p_partkey", tx.is_cross_reference(stated).alias("elsewhere"))
+
+
+@query("c6_camel_runs", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '|') AS words FROM part")
+def c6(spark, sf_dir):
+    run = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(tx.split_camel_run(run), "|").alias("words"))
+
+
+@query("c9_label_key", "SELECT p_partkey, lower(p_type) || ' ' || lower(p_brand) AS label FROM part")
+def c9(spark, sf_dir):
+    return parts(spark, sf_dir).select("p_partkey", tx.label_key(F.concat("p_type", F.lit(" : "), "p_brand", F.lit("."))).alias("label"))
+
+
+@query("c10_display_title", "SELECT p_partkey, p_name AS title FROM part")
+def c10(spark, sf_dir):
+    qualifier = by_type(F.lit(" (film)"), F.lit(""), F.concat(F.lit(" ("), (F.col("p_size") + 1950).cast("string"), F.lit(" film)")))
+    return parts(spark, sf_dir).select("p_partkey", tx.display_title(F.concat("p_name", qualifier)).alias("title"))
+
+
+@query(
+    "c13_parse_year",
+    "SELECT p_partkey, CAST(CASE WHEN p_size % 7 <> 0 AND 1850 + p_size * 10 > 1900 AND 1850 + p_size * 10 < 2100 THEN 1850 + p_size * 10 END AS INTEGER) AS year FROM part",
+)
+def c13(spark, sf_dir):
+    spelled = F.concat(F.lit(" "), (F.col("p_size") * 10 + 1850).cast("string"), F.when(F.col("p_size") % 7 == 0, ".0").otherwise(""))
+    return parts(spark, sf_dir).select("p_partkey", tx.parse_year(spelled).alias("year"))
+
+
+@query("c16_non_works", "SELECT p_partkey, p_type IN ('PROMO', 'SMALL') AS non_work, p_type = 'SMALL' AS month_or_day FROM part")
+def c16(spark, sf_dir):
+    title = by_type(F.concat(F.lit("List of "), "p_name"), F.lit("March"), F.col("p_name"))
+    return parts(spark, sf_dir).select("p_partkey", tx.is_non_work(title).alias("non_work"), tx.is_month_or_day(title).alias("month_or_day"))
+
+
+@query("c17_strip_credit", "SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN '' ELSE p_name END AS house FROM part")
+def c17(spark, sf_dir):
+    credit = by_type(F.concat(F.lit("Banner - "), "p_name"), F.lit("Production house N/A"), F.concat(F.lit("Produced by: "), "p_name"))
+    return parts(spark, sf_dir).select("p_partkey", tx.strip_credit(credit).alias("house"))
+
+
+@query("c18_drop_captions", "SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS names FROM part")
+def c18(spark, sf_dir):
+    captioned = F.array(F.lit("Songs:"), "p_name", F.lit("Background score"), "p_brand", "p_type")
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(tx.drop_captions(captioned), "|").alias("names"))
+
+
+@query(
+    "c20_query_parts",
+    "SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN CAST(1950 + p_size AS VARCHAR) ELSE p_name END AS text, CAST(CASE WHEN p_type <> 'PROMO' THEN 1950 + p_size END AS INTEGER) AS year FROM part",
+)
+def c20(spark, sf_dir):
+    year = (F.col("p_size") + 1950).cast("string")
+    asked = tx.query_parts(by_type(year, F.concat(year, F.lit(" "), "p_name"), F.concat("p_name", F.lit(" "), year)))
+    return parts(spark, sf_dir).select("p_partkey", asked["text"].alias("text"), asked["year"].alias("year"))
+
+
+@query("d9_plausible_targets", "SELECT p_partkey, p_type NOT IN ('PROMO', 'SMALL') AS plausible FROM part")
+def d9(spark, sf_dir):
+    target = by_type(F.concat(F.lit("List of "), "p_name"), F.col("p_brand"), F.concat(F.upper("p_name"), F.lit(" (film)")))
+    return parts(spark, sf_dir).select("p_partkey", tx.is_plausible(target, F.col("p_name")).alias("plausible"))
+
+
 # --- validity ---
 
 
