@@ -80,6 +80,15 @@ def test_one_of_each_group_stays(spark, edge_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_the_least_id_stays_whatever_the_columns_are_called(spark):
+    texts = ["one two three four five six", "quite another text with words of its own", None]
+    rows = [(d, texts[k]) for k, ids in enumerate([[9, 4, 4, None, 7], [None, None], [3, 2]]) for d in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS key", "3 AS root", "4 AS least", "5 AS none", "6 AS component")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, texts[0]), (None, texts[1]), (2, None)], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     from reelloom.llm.components import components
 
