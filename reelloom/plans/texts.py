@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.normal import with_bare, with_composed
-from ..operators import comparison, pages, quality, replay
+from ..operators import comparison, dedup, pages, quality, replay
 from ..sources import files
 from ..streaming import jobs
 from ..session import table
@@ -191,6 +191,21 @@ def d9(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", tx.is_plausible(target, F.col("p_name")).alias("plausible"))
 
 
+@query(
+    "d12_claimed_dates",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS release_date, CAST(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'P' THEN year(o_orderdate) END ELSE 1900 END AS INTEGER) AS year, o_orderstatus = 'P' AS filled FROM orders",
+)
+def d12(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    works = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") != "P", day).alias("release_date"),
+        F.when(F.col("o_orderkey") % 2 == 1, 1900).alias("year"),
+        F.array(F.col("o_orderpriority"), F.concat(F.lit("+"), day, F.lit("T00:00:00Z")), F.lit("1901-01-01")).alias("claims"),
+    )
+    return dedup.fill_release_date(works, F.col("claims")).drop("claims")
+
+
 # --- validity ---
 
 
