@@ -141,7 +141,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bloc
     """
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = cut(fingerprints(docs, shingle).groupBy("fp").agg(F.min(row).alias("least")))
-    graph = components(links(classes.select("fp"), radius, blocks))
+    return one_a_component(docs, classes, components(links(classes.select("fp"), radius, blocks)))
+
+
+def one_a_component(docs: DataFrame, classes: DataFrame, graph: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of their component; classes has fp and least, graph node and component."""
     rooted = classes.join(graph, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("least").alias("least"))
     stays = chosen.select(F.col("least.doc_id").alias("_s_doc"), F.col("least.key").alias("_s_key"))
