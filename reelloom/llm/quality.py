@@ -13,7 +13,8 @@ group is joined back.
 
 Defined results: a null or blank text has no words and fails the base rules; a null language or
 source is a group of its own; documents that fail the base rules take no part in the estimates;
-a group with fewer than LEAST_ROWS others rejects none of them. Repeated rows count each time and
+a group with fewer than LEAST_ROWS others is measured by the estimate of its language, or of all documents
+where the language has too few as well, so every other document has a distance. Repeated rows count each time and
 are judged alike. An empty table gives an empty result. `filter_docs` keeps all columns.
 """
 
@@ -117,6 +118,22 @@ def group_key() -> Column:
     return F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
 
 
+def lang_key() -> Column:
+    return F.to_json(F.struct(F.col("lang").cast("string").alias("lang")))
+
+
+#: A group, its language and all documents have estimates; the first letter keeps their keys apart.
+EVERYTHING = "a"
+
+
+def _own(g: Column) -> Column:
+    return F.concat(F.lit("g"), g)
+
+
+def _language(lang: Column) -> Column:
+    return F.concat(F.lit("l"), lang)
+
+
 def squared_distance(mean: list[Column], factor: dict[tuple[int, int], Column]) -> Column:
     """(x - mean)' C^-1 (x - mean) by forward substitution in the Cholesky factor of C."""
     y: list[Column] = []
@@ -178,12 +195,21 @@ def distance() -> Column:
 
 
 def _vectors(statistics: DataFrame) -> DataFrame:
-    return statistics.withColumns({"g": group_key()} | {f"x{i}": x for i, x in enumerate(vector())})
+    return statistics.withColumns({"g": group_key(), "l": lang_key()} | {f"x{i}": x for i, x in enumerate(vector())})
+
+
+def _levels(passed: DataFrame) -> DataFrame:
+    """Each vector three times: g is its group's key, its language's, and that of all."""
+    return passed.select(F.explode(F.array(_own(F.col("g")), _language(F.col("l")), F.lit(EVERYTHING))).alias("g"), *[f"x{i}" for i in range(DIMS)])
 
 
 def _judged(statistics: DataFrame, found: DataFrame, sizes: DataFrame, tail: float) -> DataFrame:
+    """sizes has g, l and size of the groups."""
     cutoff = chi2_quantile(1 - tail, DIMS)
-    known = broadcast_if_small(cut(found.drop("rows").join(sizes, "g").filter(F.col("size") >= LEAST_ROWS).drop("size").withColumnRenamed("g", "_q_g")))
+    languages = sizes.groupBy("l").agg(F.sum("size").alias("in_lang"))
+    level = F.when(F.col("size") >= LEAST_ROWS, _own(F.col("g"))).when(F.col("in_lang") >= LEAST_ROWS, _language(F.col("l"))).otherwise(F.lit(EVERYTHING))
+    measured_by = sizes.join(languages, "l").select(F.col("g").alias("_q_g"), level.alias("g"))
+    known = broadcast_if_small(cut(measured_by.join(found.drop("rows"), "g").drop("g")))
     far = statistics.join(known, F.col("g") == F.col("_q_g"), "left").withColumn("distance", distance())
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
@@ -202,9 +228,9 @@ def _measure(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     repeat their expressions inside each other.
     """
     rows = _vectors(text_statistics(docs.select("doc_id", "text", "lang", "source", row_key().alias("key"))))
-    kept = cut(rows.select("doc_id", "key", *NUMBERS, "base_failed", "g", *[f"x{i}" for i in range(DIMS)]))
+    kept = cut(rows.select("doc_id", "key", *NUMBERS, "base_failed", "g", "l", *[f"x{i}" for i in range(DIMS)]))
     passed = kept.filter(~F.col("base_failed"))
-    return kept, estimates(passed), passed.groupBy("g").agg(F.count("*").alias("size"))
+    return kept, estimates(_levels(passed)), passed.groupBy("g", "l").agg(F.count("*").alias("size"))
 
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:

@@ -50,6 +50,18 @@ def test_outliers_go_and_clean_documents_stay(spark, corpus):
     assert {r.doc_id for r in stays.select("doc_id").collect()} == {i for i, k in kept.items() if k}
 
 
+def test_small_groups_are_measured_by_their_language_or_by_all(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    text = lambda end="": " ".join(word() + end for _ in range(rng.randint(60, 400)))
+    rows = [(i, text(), "en", f"s{i % 20}") for i in range(200)]
+    rows += [(1000 + i, text("###"), "en", f"s{i}") for i in range(5)]
+    rows += [(2000, text(), "fr", "s1"), (2001, text("###"), "fr", "s1"), (2002, text("###"), None, None), (2003, text(), None, None)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.distance is not None for r in found.values())
+    assert {i for i, r in found.items() if not r.kept} == {1000, 1001, 1002, 1003, 1004, 2001, 2002}
+
+
 def test_quantiles():
     assert quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 5) == pytest.approx(0.75)
     assert quality.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
