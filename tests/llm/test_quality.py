@@ -62,6 +62,27 @@ def test_small_groups_are_measured_by_their_language_or_by_all(spark):
     assert {i for i, r in found.items() if not r.kept} == {1000, 1001, 1002, 1003, 1004, 2001, 2002}
 
 
+def test_each_statistic_alone_can_reject(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    twice = words(30)
+    planted = {
+        "n_words": words(30000),
+        "word_chars": " ".join(word() * 12 for _ in range(150)),
+        "n_symbols": " ".join("#" * len(w) if i % 5 < 3 else w for i, w in enumerate(words(200).split())),
+        "n_dup_lines": "\n".join(f"note\nnote\n{words(12)}" for _ in range(15)),
+        "n_repeat_words": f"{twice} {words(75)} {twice} {words(75)}",
+    }
+    rows = [(i, words(rng.randint(60, 400)), "en", "s") for i in range(300)] + [(1000 + k, t, "en", "s") for k, t in enumerate(planted.values())]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(found[i].kept for i in range(300))
+    for k, name in enumerate(planted):
+        r = found[1000 + k]
+        assert not r.base_failed and not r.kept, name
+        assert all(r[other] == 0 for other in ("n_symbols", "n_dup_lines", "n_repeat_words") if other != name)
+
+
 def test_quantiles():
     assert quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 5) == pytest.approx(0.75)
     assert quality.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
