@@ -30,8 +30,31 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
+
+class Known(dict):
+    """Ids by word; a word that is not known is taken from an older generation, or learnt."""
+
+    def __init__(self, learn, older: Known | None = None):
+        super().__init__()
+        self.learn, self.older = learn, older
+        if older is not None:
+            older.older = None
+
+    def __missing__(self, word: str) -> bytes:
+        ids = None if self.older is None else self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+
+#: Longer pieces of text are not kept.
+LONGEST = 64
+
+
 class WordCache:
-    """Token ids of a text from the ids of its words, which are kept; the rest goes to the tokenizer whole.
+    """Token ids of a text from the ids of its words, which are kept; what is not certain goes to the tokenizer whole.
 
     Cutting at white space is exact for tokenizers whose pre-tokenizer never joins what stands on
     both sides of such a cut. Two kinds are known: "space" tokenizers mark a word by the space
@@ -40,10 +63,18 @@ class WordCache:
     """
 
     #: Words kept in each of two generations; when the newer is full, the older is let go.
-    MOST = 300_000
+    MOST = 400_000
     #: Letters that every Unicode version calls letters, and marks that are neither letter, number nor apostrophe.
-    PARTS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@[-`{-~]+|\n")
-    PLAIN = re.compile("(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@[-`{-~]+)(?:[!-&(-/:-@[-`{-~]+|\n?[A-Za-zÀ-ÖØ-öø-ÿ]+|\n[!-&(-/:-@[-`{-~]+)*")
+    LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@[-`{-~"
+    PARTS = re.compile(f" ?[{LETTERS}]+| ?[{MARKS}]+|\n")
+    PLAIN = re.compile(f"(?: ?[{LETTERS}]+| ?[{MARKS}]+)(?:[{MARKS}]+|\n?[{LETTERS}]+|\n[{MARKS}]+)*")
+    #: Texts without any of these are cut by one pattern into what the pre-tokenizer makes of them.
+    OTHER = re.compile(f"[^{LETTERS}{MARKS}0-9 \n]")
+    TOGETHER = ("  ", " \n", "\n ", "\n\n\n", "<|")
+    PIECES = {
+        "space": re.compile(f" ?[{LETTERS}]+| ?[{MARKS}]+| ?[0-9]+|\n"),
+        "end": re.compile(f"[{LETTERS}]+|[{MARKS}]+|[0-9]"),
+    }
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -52,8 +83,8 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.kind = self.tokenizer.model, kind
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = self.PIECES[kind].findall
+        self.known, self.exact = Known(self.learn), Known(self.merge)
         self.code = "H" if self.type.itemsize == 2 else "I"
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,54 +94,46 @@ class WordCache:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = self.older.get(word) or self.learn(word)
-        return ids
-
     def learn(self, word: str) -> bytes:
+        """The ids of what stands between two cuts at white space."""
         if "<|" in word or not self.PLAIN.fullmatch(word):
             return self.whole(word)
-        parts = self.PARTS.findall(word)
-        if len(parts) > 1:
-            return b"".join([self.piece(x) for x in parts])
-        lettered = word.lower() if self.kind == "end" else word
-        spelled = lettered.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.exact[x] for x in self.PARTS.findall(word.lower() if self.kind == "end" else word)])
+
+    def merge(self, piece: str) -> bytes:
+        """The ids of one piece that the pre-tokenizer leaves whole, lower-cased if it does so."""
+        spelled = piece.replace(" ", "Ġ") if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(self.alphabet)
         return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.kind == "space":
-            if "  " in text or " \n" in text or text[:1].isspace() or text[-1:].isspace() or SPECIAL_SPACE.search(text):
-                return self.by_line(text)
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + w for w in rest]] if text else []
-        else:
-            if CONTROL.search(text):
-                return self.whole(text)
-            parts = text.split()
         if len(self.known) > self.MOST:
-            self.older, self.known = self.known, {}
-        known, piece = self.known, self.piece
-        out = []
-        for w in parts:
-            ids = known.get(w)
-            if ids is None:
-                ids = piece(w)
-            out.append(ids)
-        return b"".join(out)
-
-    def by_line(self, text: str) -> bytes:
+            self.known = Known(self.learn, self.known)
+        if len(self.exact) > self.MOST:
+            self.exact = Known(self.merge, self.exact)
+        if self.OTHER.search(text) or text[:1].isspace() or text[-1:].isspace() or any(x in text for x in self.TOGETHER):
+            return b"".join(map(self.known.__getitem__, self.parts(text)))
+        return b"".join(map(self.exact.__getitem__, self.pieces(text.lower() if self.kind == "end" else text)))
+
+    def parts(self, text: str) -> list[str]:
+        """Parts of text whose ids, one after the other, are those of text."""
+        if self.kind == "end":
+            return [text] if CONTROL.search(text) else text.split()
+        if "  " in text or " \n" in text or text[:1].isspace() or text[-1:].isspace() or SPECIAL_SPACE.search(text):
+            return self.by_line(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]] if text else []
+
+    def by_line(self, text: str) -> list[str]:
         """Runs of words with one space between them, apart from the places where more white space stands."""
         out, at = [], 0
         for m in RUN.finditer(text):
             if m.start() > at:
-                out.append(self.whole(text[at : m.start()]))
-            out.append(b"".join([self.piece(w) for w in re.findall(" ?[^ ]+", m[0])]))
+                out.append(text[at : m.start()])
+            out += re.findall(" ?[^ ]+", m[0])
             at = m.end()
         if at < len(text):
-            out.append(self.whole(text[at:]))
-        return b"".join(out)
+            out.append(text[at:])
+        return out
 
 
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -162,10 +185,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind: str =
             names.append(pdf["doc_id"].to_numpy("<i8"))
             nulls.append(pdf["missing"].to_numpy("u1"))
             for text in pdf["text"]:
-                ids = words.ids(text or "")
+                ids = words.ids(text) + end
                 out.write(ids)
-                out.write(end)
-                sizes.append(len(ids) // words.type.itemsize + 1)
+                sizes.append(len(ids) // words.type.itemsize)
         if words is None:
             return
         out.close()
@@ -192,13 +214,27 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, kind: str =
     return rows.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
-def _view(store, path: str, dtype: str) -> np.ndarray:
-    from pyarrow import fs
+class View:
+    """A file of numbers, memory-mapped where the folder is local; elsewhere only the range asked for is read."""
+
+    def __init__(self, store, path: str, dtype: str):
+        from pyarrow import fs
+
+        self.dtype, self.mapped, self.file = np.dtype(dtype), None, None
+        if isinstance(store, fs.LocalFileSystem):
+            self.mapped = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        else:
+            self.file = store.open_input_file(path)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.file is None:
+            return np.asarray(self.mapped[span])
+        lo, hi, _ = span.indices(self.file.size() // self.dtype.itemsize)
+        return np.frombuffer(self.file.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
+
 
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+#: Documents and tokens read at once; a longer document is read alone.
+READ_DOCS, READ_TOKENS = 2000, 1 << 22
 
 
 def read(parts: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -209,23 +245,28 @@ def read(parts: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
         for pdf in batches:
             for p in pdf.itertuples():
                 name = f"{top}/part-{p.part:06d}"
-                ids, offsets = _view(store, f"{name}.ids", f"<u{p.width}"), _view(store, f"{name}.off", "<u8").astype("i8")
-                docs, nulls = _view(store, f"{name}.doc", "<i8"), _view(store, f"{name}.nul", "u1")
-                for lo in range(0, p.n_docs, 2000):
-                    hi = min(lo + 2000, p.n_docs)
-                    spans = [np.asarray(ids[offsets[i] : offsets[i + 1]]).astype("<u4") for i in range(lo, hi)]
+                ids, ends = View(store, f"{name}.ids", f"<u{p.width}"), View(store, f"{name}.off", "<u8")
+                docs, nulls = View(store, f"{name}.doc", "<i8"), View(store, f"{name}.nul", "u1")
+                lo = 0
+                while lo < p.n_docs:
+                    offsets = ends[lo : min(lo + READ_DOCS, p.n_docs) + 1].astype("i8")
+                    n = max(1, int(np.searchsorted(offsets, offsets[0] + READ_TOKENS, "right")) - 1)
+                    offsets = offsets[: n + 1]
+                    held = ids[int(offsets[0]) : int(offsets[-1])].astype("<u4")
+                    spans = [held[a:b] for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True)]
                     found = pd.DataFrame(
                         {
-                            "doc_id": docs[lo:hi],
-                            "missing": nulls[lo:hi] > 0,
-                            "start": offsets[lo:hi] + p.base,
-                            "n_tokens": np.diff(offsets[lo : hi + 1]),
-                            "ids_crc32": [zlib.crc32(x.tobytes()) for x in spans],
+                            "doc_id": docs[lo : lo + n],
+                            "missing": nulls[lo : lo + n] > 0,
+                            "start": offsets[:-1] + p.base,
+                            "n_tokens": np.diff(offsets),
+                            "ids_crc32": [zlib.crc32(x) for x in spans],
                         }
                     )
                     if with_ids:
                         found["ids"] = [x.astype("i8") for x in spans]
                     yield found
+                    lo += n
 
     schema = "doc_id long, missing boolean, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     spread = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
