@@ -1,11 +1,14 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by language and source.
 
 Each text becomes a vector of transformed statistics. For each language and source a minimum
-covariance determinant estimate is found by concentration steps: from medians and absolute
-deviations, the KEEP share of documents nearest to the centre gives the next mean and covariance,
-and so on. A document whose Mahalanobis distance from the last estimate is past the cutoff is
-rejected. Statistics are whole numbers (hundredths), so sums are exact and results do not depend
-on the order in which they are added.
+covariance determinant estimate is found from several starts: medians with absolute deviations, and
+means with covariances of a few documents drawn by hash. From each, concentration steps follow: the
+KEEP share of documents nearest to the centre gives the next mean and covariance, until the
+determinant falls no more (by SETTLED of itself); the start that ends with the least determinant is
+the estimate. A document whose Mahalanobis distance from it is past the cutoff is rejected.
+Statistics are whole numbers (hundredths), so sums are exact and results do not depend on the order
+in which they are added. A step is one aggregation: moments are summed for each distance, in
+thousandths of its logarithm, and running sums over the distances show where the share is reached.
 
 Everything about one text (words, repeated windows, repeated lines) is computed inside its row by
 array functions, so no text is shuffled. Groups are aggregated before the shuffle; only one row a
@@ -22,14 +25,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, broadcast_if_small, cut, table
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-KEEP, STEPS, LEAST_ROWS = 0.75, 4, 50
+KEEP, LEAST_ROWS = 0.75, 50
+#: Documents of a random start, random starts, and the relative fall of a determinant that ends its steps.
+DRAWN, RANDOM_STARTS, SETTLED = 10, 2, 1e-4
 #: The share of Gaussian documents beyond the cutoff, and the least standard deviation of a
 #: statistic: corpora have longer tails, most texts repeat nothing, and only what is far outside goes.
 #: Where no other text has any, a share alone rejects from 46 % of symbols, 46 % of duplicate lines
@@ -147,16 +152,23 @@ def squared_distance(mean: list[Column], factor: dict[tuple[int, int], Column])
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _estimate(chosen: DataFrame, widen: float) -> DataFrame:
-    """g, rows, m0.., l00..: means and the Cholesky factor of the widened covariance of each group."""
-    names = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    sums = chosen.groupBy("g").agg(
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+KEYS = ["g", "start"]
+
+
+def _moments() -> list[Column]:
+    """Number, sums and sums of products of the vectors of a group, as whole numbers."""
+    return [
         F.count("*").alias("rows"),
         *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in names],
-    )
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS],
+    ]
+
+
+def _factored(sums: DataFrame, widen: float) -> DataFrame:
+    """g, start, m0.., l00.., det: means, the Cholesky factor of the widened covariance, its log-determinant."""
     found = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("rows") for i in range(DIMS)})
-    for i, j in names:
+    for i, j in PAIRS:
         spread = (F.col(f"s{i}_{j}") / F.col("rows") - F.col(f"m{i}") * F.col(f"m{j}")) * widen
         if i == j:
             spread = spread + (LEAST_SD[i] * SCALE) ** 2
@@ -164,32 +176,57 @@ def _estimate(chosen: DataFrame, widen: float) -> DataFrame:
             spread = spread - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
         value = F.sqrt(F.greatest(spread, F.lit(1e-6))) if i == j else spread / F.col(f"l{j}_{j}")
         found = found.withColumn(f"l{i}_{j}", value)
-    return found.select("g", "rows", *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in names])
+    return found.select(*KEYS, *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in PAIRS], _log_det().alias("det"))
 
 
-def estimates(vectors: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """Minimum covariance determinant estimates of (g, x0..), one row a group; vectors is read once a step."""
-    near = chi2_quantile(keep, DIMS)
-    widen = keep / chi2_cdf(near, DIMS + 2)
+def _log_det() -> Column:
+    return 2 * sum((F.log(f"l{i}_{i}") for i in range(1, DIMS)), F.log("l0_0"))
+
+
+def _starts(vectors: DataFrame, widen: float) -> DataFrame:
+    """g, start and the estimate that each start begins with."""
     middle = vectors.groupBy("g").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"c{i}") for i in range(DIMS)])
     middle = broadcast_if_small(cut(middle))
-    off = vectors.join(middle, "g")
-    deviation = off.groupBy("g").agg(*[F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"c{i}"))), F.lit(0.5)).alias(f"d{i}") for i in range(DIMS)])
+    deviation = vectors.join(middle, "g").groupBy("g").agg(
+        *[F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"c{i}"))), F.lit(0.5)).alias(f"d{i}") for i in range(DIMS)]
+    )
     scaled = middle.join(deviation, "g").select(
         "g",
-        *[F.col(f"c{i}").alias(f"m{i}") for i in range(DIMS)],
-        *[
-            (F.greatest(1.4826 * F.col(f"d{i}"), F.lit(LEAST_SD[i] * SCALE)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}")
-            for i in range(DIMS)
-            for j in range(i + 1)
-        ],
+        F.lit(0).alias("start"),
+        *[F.col(f"c{i}").cast("double").alias(f"m{i}") for i in range(DIMS)],
+        *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(LEAST_SD[i] * SCALE)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i, j in PAIRS],
     )
-    now = broadcast_if_small(cut(scaled))
-    for _ in range(steps):
-        measured = vectors.join(now, "g").select("g", *[f"x{i}" for i in range(DIMS)], F.floor(1000 * F.log1p(distance())).alias("far"))
-        bound = broadcast_if_small(cut(measured.groupBy("g").agg(F.percentile("far", F.lit(keep)).alias("bound"))))
-        now = broadcast_if_small(cut(_estimate(measured.join(bound, "g").filter("far <= bound"), widen)))
-    return now
+    # One vector of each bucket of a hash, the one of the least hash: a minimum that Spark takes before the shuffle.
+    draws = vectors.withColumn("start", F.explode(F.array(*[F.lit(k + 1) for k in range(RANDOM_STARTS)]))).withColumn("h", F.xxhash64("key", "start"))
+    drawn = draws.groupBy(*KEYS, F.pmod("h", F.lit(DRAWN)).alias("bucket")).agg(F.min(F.struct("h", *[f"x{i}" for i in range(DIMS)])).alias("x"))
+    few = drawn.select(*KEYS, "x.*").groupBy(*KEYS).agg(*_moments())
+    return scaled.withColumn("det", _log_det()).unionByName(_factored(few, widen))
+
+
+def estimates(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
+    """Minimum covariance determinant estimates of (g, key, x0..), one row a group; vectors is read once a step."""
+    near = chi2_quantile(keep, DIMS)
+    widen = keep / chi2_cdf(near, DIMS + 2)
+    now = cut(_starts(vectors, widen).withColumn("moves", F.lit(True)))
+    upto = Window.partitionBy(*KEYS).orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*KEYS)
+    step = 0
+    while now.filter("moves").limit(1).count():
+        step += 1
+        moving = broadcast_if_small(now.filter("moves"))
+        measured = vectors.join(moving.drop("det", "moves"), "g").withColumn("far", F.floor(1000 * F.log1p(distance())))
+        rings = measured.groupBy(*KEYS, "far").agg(*_moments())
+        # Rings before the one in which the share is reached, and that one.
+        inside = rings.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumn("all", F.sum("rows").over(whole)).filter(F.col("before") < keep * F.col("all"))
+        sums = inside.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ["rows", *[f"s{i}" for i in range(DIMS)], *[f"s{i}_{j}" for i, j in PAIRS]]])
+        fresh = _factored(sums, widen)
+        old = now.select(*[F.col(k).alias(f"old_{k}") for k in KEYS], F.col("det").alias("old_det"))
+        # The first step leaves a start whose determinant is not comparable; from then on it can only fall.
+        falls = F.lit(True) if step == 1 else F.col("det") < F.col("old_det") + math.log1p(-SETTLED)
+        moved = fresh.join(old, (F.col("g") == F.col("old_g")) & (F.col("start") == F.col("old_start"))).withColumn("moves", falls)
+        now = cut(moved.select(*now.columns).unionByName(now.filter("NOT moves")))
+    best = now.groupBy("g").agg(F.min_by(F.struct(*now.columns[1:]), F.struct("det", "start")).alias("x")).select("g", "x.*")
+    return cut(best.drop("moves", "start", "det"))
 
 
 def distance() -> Column:
@@ -202,7 +239,7 @@ def _vectors(statistics: DataFrame) -> DataFrame:
 
 def _levels(passed: DataFrame) -> DataFrame:
     """Each vector three times: g is its group's key, its language's, and that of all."""
-    return passed.select(F.explode(F.array(_own(F.col("g")), _language(F.col("l")), F.lit(EVERYTHING))).alias("g"), *[f"x{i}" for i in range(DIMS)])
+    return passed.select(F.explode(F.array(_own(F.col("g")), _language(F.col("l")), F.lit(EVERYTHING))).alias("g"), "key", *[f"x{i}" for i in range(DIMS)])
 
 
 def _judged(statistics: DataFrame, found: DataFrame, sizes: DataFrame, tail: float) -> DataFrame:
@@ -211,7 +248,7 @@ def _judged(statistics: DataFrame, found: DataFrame, sizes: DataFrame, tail: flo
     languages = sizes.groupBy("l").agg(F.sum("size").alias("in_lang"))
     level = F.when(F.col("size") >= LEAST_ROWS, _own(F.col("g"))).when(F.col("in_lang") >= LEAST_ROWS, _language(F.col("l"))).otherwise(F.lit(EVERYTHING))
     measured_by = sizes.join(languages, "l").select(F.col("g").alias("_q_g"), level.alias("g"))
-    known = broadcast_if_small(cut(measured_by.join(found.drop("rows"), "g").drop("g")))
+    known = broadcast_if_small(cut(measured_by.join(found, "g").drop("g")))
     far = statistics.join(known, F.col("g") == F.col("_q_g"), "left").withColumn("distance", distance())
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
@@ -236,9 +273,9 @@ def _measure(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance and kept of every row."""
+    """doc_id, the statistics, base_failed, kept, then n_lines and the squared distance, of every row."""
     kept, found, sizes = _measure(docs)
-    return _judged(kept, found, sizes, tail).select("doc_id", *NUMBERS, "base_failed", "distance", "kept")
+    return _judged(kept, found, sizes, tail).select("doc_id", *[c for c in NUMBERS if c != "n_lines"], "base_failed", "kept", "n_lines", "distance")
 
 
 def filter_docs(docs: DataFrame, tail: float = TAIL) -> DataFrame:
