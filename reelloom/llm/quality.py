@@ -141,46 +141,40 @@ def _language(lang: Column) -> Column:
     return F.concat(F.lit("l"), lang)
 
 
-def squared_distance(mean: list[Column], factor: dict[tuple[int, int], Column]) -> Column:
-    """(x - mean)' C^-1 (x - mean) by forward substitution in the Cholesky factor of C."""
-    y: list[Column] = []
+def _squared_distance() -> str:
+    """(x - mean)' C^-1 (x - mean) by forward substitution in the Cholesky factor of C, as an expression."""
+    y: list[str] = []
     for i in range(DIMS):
-        rest = F.col(f"x{i}") - mean[i]
-        for j in range(i):
-            rest = rest - factor[i, j] * y[j]
-        y.append(rest / factor[i, i])
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+        y.append(f"((x{i} - m{i}{''.join(f' - l{i}_{j} * {y[j]}' for j in range(i))}) / l{i}_{i})")
+    return " + ".join(f"{v} * {v}" for v in y)
 
 
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 KEYS = ["g", "start"]
 
 
+#: Number, sums and sums of products of vectors, as whole numbers. Long expressions are spelled, as building them call by call takes seconds.
+SUMS = {"rows": "count(*)"} | {f"s{i}": f"sum(x{i})" for i in range(DIMS)} | {f"s{i}_{j}": f"sum(x{i} * x{j})" for i, j in PAIRS}
+ESTIMATE = [*[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in PAIRS]]
+LOG_DET = "2 * (" + " + ".join(f"ln(l{i}_{i})" for i in range(DIMS)) + ")"
+
+
 def _moments() -> list[Column]:
-    """Number, sums and sums of products of the vectors of a group, as whole numbers."""
-    return [
-        F.count("*").alias("rows"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS],
-    ]
+    return [F.expr(f"{e} AS {n}") for n, e in SUMS.items()]
 
 
 def _factored(sums: DataFrame, widen: float) -> DataFrame:
     """g, start, m0.., l00.., det: means, the Cholesky factor of the widened covariance, its log-determinant."""
-    found = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("rows") for i in range(DIMS)})
-    for i, j in PAIRS:
-        spread = (F.col(f"s{i}_{j}") / F.col("rows") - F.col(f"m{i}") * F.col(f"m{j}")) * widen
-        if i == j:
-            spread = spread + (LEAST_SD[i] * SCALE) ** 2
-        for k in range(j):
-            spread = spread - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-        value = F.sqrt(F.greatest(spread, F.lit(1e-6))) if i == j else spread / F.col(f"l{j}_{j}")
-        found = found.withColumn(f"l{i}_{j}", value)
-    return found.select(*KEYS, *[f"m{i}" for i in range(DIMS)], *[f"l{i}_{j}" for i, j in PAIRS], _log_det().alias("det"))
-
-
-def _log_det() -> Column:
-    return 2 * sum((F.log(f"l{i}_{i}") for i in range(1, DIMS)), F.log("l0_0"))
+    found = sums.selectExpr("*", *[f"s{i} / rows AS m{i}" for i in range(DIMS)])
+    found = found.selectExpr(
+        *KEYS, *ESTIMATE[:DIMS], *[f"(s{i}_{j} / rows - m{i} * m{j}) * {widen!r}D{f' + {(LEAST_SD[i] * SCALE) ** 2!r}D' * (i == j)} AS l{i}_{j}" for i, j in PAIRS]
+    )
+    for j in range(DIMS):  # a column of the factor from those before it
+        taken = lambda i: "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))  # noqa: E731, B023
+        root = f"sqrt(greatest(l{j}_{j}{taken(j)}, 1e-6D))"
+        fresh = {f"l{i}_{j}": root if i == j else f"(l{i}_{j}{taken(i)}) / {root}" for i in range(j, DIMS)}
+        found = found.selectExpr(*KEYS, *[f"{fresh.get(c, c)} AS {c}" for c in ESTIMATE])
+    return found.selectExpr("*", f"{LOG_DET} AS det")
 
 
 def _starts(vectors: DataFrame, widen: float) -> DataFrame:
@@ -200,7 +194,7 @@ def _starts(vectors: DataFrame, widen: float) -> DataFrame:
     draws = vectors.withColumn("start", F.explode(F.array(*[F.lit(k + 1) for k in range(RANDOM_STARTS)]))).withColumn("h", F.xxhash64("key", "start"))
     drawn = draws.groupBy(*KEYS, F.pmod("h", F.lit(DRAWN)).alias("bucket")).agg(F.min(F.struct("h", *[f"x{i}" for i in range(DIMS)])).alias("x"))
     few = drawn.select(*KEYS, "x.*").groupBy(*KEYS).agg(*_moments())
-    return scaled.withColumn("det", _log_det()).unionByName(_factored(few, widen))
+    return scaled.selectExpr("*", f"{LOG_DET} AS det").unionByName(_factored(few, widen))
 
 
 def estimates(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -218,7 +212,7 @@ def estimates(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
         rings = measured.groupBy(*KEYS, "far").agg(*_moments())
         # Rings before the one in which the share is reached, and that one.
         inside = rings.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumn("all", F.sum("rows").over(whole)).filter(F.col("before") < keep * F.col("all"))
-        sums = inside.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ["rows", *[f"s{i}" for i in range(DIMS)], *[f"s{i}_{j}" for i, j in PAIRS]]])
+        sums = inside.groupBy(*KEYS).agg(*[F.expr(f"sum({c}) AS {c}") for c in SUMS])
         fresh = _factored(sums, widen)
         old = now.select(*[F.col(k).alias(f"old_{k}") for k in KEYS], F.col("det").alias("old_det"))
         # The first step leaves a start whose determinant is not comparable; from then on it can only fall.
@@ -230,7 +224,7 @@ def estimates(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
 
 
 def distance() -> Column:
-    return squared_distance([F.col(f"m{i}") for i in range(DIMS)], {(i, j): F.col(f"l{i}_{j}") for i in range(DIMS) for j in range(i + 1)})
+    return F.expr(_squared_distance())
 
 
 def _vectors(statistics: DataFrame) -> DataFrame:
