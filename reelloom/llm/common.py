@@ -50,3 +50,19 @@ BROADCAST_ROWS = 20_000
 def broadcast_if_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """kept, a table that cut() returned, marked for broadcast if it has at most so many rows."""
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+#: No more than so many keys hold more than the like part of all rows each.
+HOT_KEYS = 10_000
+
+
+def join_by_count(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
+    """left (of so many rows, kept) joined to right, which has one row a key and in n its number of rows in left.
+
+    Keys with a HOT_KEYS-th of the rows or more are at most HOT_KEYS: they are broadcast, so no row of theirs
+    is shuffled. The others, none of which has more, are joined by shuffle.
+    """
+    least = max(2, -(-rows // HOT_KEYS))
+    hot, rest = right.filter(F.col(n) >= least).drop(n), right.filter(F.col(n) < least).drop(n)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)

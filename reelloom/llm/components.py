@@ -2,8 +2,8 @@
 
 Each step replaces edges by edges to the least neighbour; the edge set only shrinks or is rewired,
 and after few steps every node hangs on the least node of its component. Steps are joins and
-aggregations; a node with many neighbours is pre-aggregated and its join split by Spark. Each
-step's edges are kept in the shared folder, so a lost executor costs one step at most.
+aggregations; a node with many neighbours is pre-aggregated and its least one broadcast to its
+edges. Each step's edges are kept in the shared folder, so a lost executor costs one step at most.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_by_count
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,12 +19,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         arcs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         arcs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = arcs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
-    joined = arcs.join(least, F.col("a") == F.col("node"))
+    least = cut(arcs.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("n")))
+    rows = least.agg(F.sum("n")).first()[0] or 0
+    joined = join_by_count(arcs, least, ["a"], "n", rows)
     if large:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("low").alias("b")))
+        moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
     return moved.filter("a <> b").distinct()
 
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(cut(_star(now, large=True)), large=False))
         after = _state(now)
         if after == state:
             break

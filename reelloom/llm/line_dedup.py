@@ -4,7 +4,7 @@ The lines that hold a word, in order, form windows of three. A window is known b
 hashes. Windows are counted before the shuffle; those found twice or more anywhere are joined back
 to their places, and every place but the first (by doc_id, then text hash, then line) is removed:
 the covered positions of a document are merged and what lies between them is kept. A hot window
-is one row after counting, and its places are joined in parts that Spark may split.
+is one row after counting; such rows, of bounded number, are broadcast to its places, which stay where they are.
 
 Defined results: null and blank texts have no windows and stay as they are; documents of fewer
 than three lines with a word lose none; blank lines are no part of a window and stay; null
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, join_by_count, table
 
 #: A line is told by two hashes of different seeds.
 OTHER_SEED = 7
@@ -51,10 +51,10 @@ def windows(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """d, t, gone: the sorted positions of the lines that each document loses."""
     found = cut(windows(docs))
-    repeated = found.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    places = cut(found.join(repeated, ["a", "b"]))
-    first = places.groupBy("a", "b").agg(F.min(F.struct("d", "t", "p0")).alias("first"))
-    later = places.join(first, ["a", "b"]).filter(~F.struct("d", "t", "p0").eqNullSafe(F.col("first")))
+    counted = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "p0")).alias("first"))
+    repeated = cut(counted.filter("n > 1"))
+    places = join_by_count(found, repeated, ["a", "b"], "n", found.count())
+    later = places.filter(~F.struct("d", "t", "p0").eqNullSafe(F.col("first")))
     spots = later.select("d", "t", F.explode(F.array("p0", "p1", "p2")).alias("p")).distinct()
     return spots.groupBy("d", "t").agg(F.sort_array(F.collect_list("p")).alias("gone"))
 

@@ -8,7 +8,7 @@ determinant falls no more (by SETTLED of itself); the start that ends with the l
 the estimate. A document whose Mahalanobis distance from it is past the cutoff is rejected.
 Statistics are whole numbers (hundredths), so sums are exact and results do not depend on the order
 in which they are added. A step is one aggregation: moments are summed for each distance, in
-thousandths of its logarithm, and running sums over the distances show where the share is reached.
+hundredths of its logarithm, and running sums over the distances show where the share is reached.
 
 Everything about one text (words, repeated windows, repeated lines) is computed inside its row by
 array functions, so no text is shuffled. Groups are aggregated before the shuffle; only one row a
@@ -208,7 +208,7 @@ def estimates(vectors: DataFrame, keep: float = KEEP) -> DataFrame:
     while now.filter("moves").limit(1).count():
         step += 1
         moving = broadcast_if_small(now.filter("moves"))
-        measured = vectors.join(moving.drop("det", "moves"), "g").withColumn("far", F.floor(1000 * F.log1p(distance())))
+        measured = vectors.join(moving.drop("det", "moves"), "g").withColumn("far", F.floor(100 * F.log1p(distance())))
         rings = measured.groupBy(*KEYS, "far").agg(*_moments())
         # Rings before the one in which the share is reached, and that one.
         inside = rings.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumn("all", F.sum("rows").over(whole)).filter(F.col("before") < keep * F.col("all"))

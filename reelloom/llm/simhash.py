@@ -10,9 +10,9 @@ its least such fingerprint in place of all pairs. Two of odd parity that both st
 are not linked by that word. A word is emitted by at most 2,081 different fingerprints.
 
 Only different fingerprints take part, and of those only such as may have a partner: with 64 bits
-cut into BLOCKS blocks, 3 differing bits leave BLOCKS - 3 blocks equal, so a fingerprint that
-shares no choice of that many blocks with another emits nothing. This test loses no link. The
-verdict of links is then checked by counting bits, and components are found by star steps.
+cut into n blocks, 3 differing bits leave n - 3 blocks equal, so a fingerprint that shares no choice
+of that many blocks with another emits nothing. This test loses no link; n follows from the number
+of fingerprints, so that few pass it by chance. The verdict of links is then checked by counting bits, and components are found by star steps.
 
 Defined results: A-Z are lower-cased, words are joined by one space in shingles; a text with
 fewer words than a shingle is one shingle; a null or blank text has fingerprint zero, which
@@ -24,17 +24,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_by_count, table
 from .components import components
 
-BITS, RADIUS, BLOCKS, SEED = 64, 3, 8, 42
+BITS, RADIUS, SEED = 64, 3, 42
 SHINGLE = 3
+#: Words that one task emits, about.
+BALL_ROWS = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -97,17 +100,31 @@ def _block_keys(fp: Column, blocks: int, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(k).cast("short").alias("choice"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(chosen)])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """a, b: links whose closure joins all fingerprints in distinct (fp) at up to radius bits."""
+def fit_blocks(n: int, radius: int = RADIUS) -> int:
+    """Blocks so many that of n random fingerprints no more than about a hundredth share a choice by chance."""
+    for blocks in range(8, BITS // 2):
+        if comb(blocks, radius) * n <= 0.01 * 2 ** (BITS * (blocks - radius) // blocks):
+            return blocks
+    return BITS // 2
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """a, b: links whose closure joins all fingerprints in distinct (fp) at up to radius bits; blocks follow from their number."""
     near, far = radius // 2, radius - radius // 2
+    distinct = cut(distinct)
+    count = distinct.count()
+    blocks = blocks or fit_blocks(count, radius)
     keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), blocks, radius)).alias("key")).select("fp", "key.choice", "key.bits")
-    shared = keyed.groupBy("choice", "bits").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("choice", "bits")
-    able = cut(keyed.join(shared, ["choice", "bits"]).select("fp").distinct())
+    shared = cut(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"))
+    able = cut(join_by_count(keyed, shared, ["choice", "bits"], "n", count * comb(blocks, radius)).select("fp").distinct())
     wide = F.bit_count("fp") % 2 == 1 if radius % 2 else F.lit(True)
     n_near = len(_masks(near))
     words = F.transform(
         F.when(wide, F.array(*[F.lit(m) for m in _masks(far)])).otherwise(F.array(*[F.lit(m) for m in _masks(near)])), lambda m: m.bitwiseXOR(F.col("fp"))
     )
+    # Balls are many words to a fingerprint: dealt out by their number first, however few tasks hold the fingerprints.
+    spread = -(-able.count() * len(_masks(far)) // BALL_ROWS)
+    able = able.repartition(max(1, spread, int(able.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     emitted = able.select("fp", F.posexplode(words).alias("place", "word"))
     group = Window.partitionBy("word")  # at most as many rows as a ball has words
     centre = F.min(F.when(F.col("place") < n_near, F.col("fp"))).over(group)
@@ -116,15 +133,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable) of every row."""
     marked = cut(fingerprints(docs, shingle))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     graph = components(links(classes.select("fp"), radius, blocks))
-    grouped = classes.join(graph, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
-    tops = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.select(F.col("fp").alias("class_fp"), "root").join(tops, "root").select("class_fp", "component_id")
-    return marked.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    grouped = cut(classes.join(graph, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp")))
+    tops = cut(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members")))
+    named = cut(join_by_count(grouped.select("fp", "root", "n"), tops, ["root"], "members", grouped.count()).select("fp", "n", "component_id"))
+    return join_by_count(marked, named, ["fp"], "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +149,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """The rows of docs, one of each component: the least doc_id, then the least text hash; all columns kept.
 
     Rows with that doc_id and text that are alike in full stay once. A component without any
