@@ -1,13 +1,16 @@
 """Cleaning, folding and parsing of text columns: Column in, Column out.
 
-Everything here stays in the JVM. Two steps that no built-in does, entity unescaping with canonical
-composition and the removal of combining marks after compatibility decomposition, are in
-`normal.py`; texts of plain ASCII do not need them.
+Everything here stays in the JVM. Entities of HTML 4 and numeric ones are unescaped here; letters of
+Latin, Greek and Cyrillic lose their marks by a translation table that follows from the Unicode
+database. What a table cannot do, canonical composition, other entities and other scripts, is in
+`normal.py`; texts of plain ASCII do not need it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +58,59 @@ def stripped(c: Column, characters: str) -> Column:
     return F.btrim(c, F.lit(characters))
 
 
+#: What a strip without arguments takes off: every white space.
+SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def trimmed(c: Column) -> Column:
+    return stripped(c, SPACE)
+
+
+@cache
+def _entities() -> str:
+    return ",".join(f"{name}:{code}" for name, code in sorted((name2codepoint | {"apos": 39}).items()))
+
+
+def unescaped(c: Column) -> Column:
+    """c with numeric entities and those of HTML 4 read, each closed by a semicolon."""
+    named = F.expr(f"str_to_map('{_entities()}', ',', ':')")
+
+    def read(x: Column, i: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).otherwise(F.try_element_at(named, name))
+        code = number.try_cast("int")
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        spelled = F.concat(char, F.substr(x, F.length(name) + 2))
+        return F.when(i == 0, x).when((name == "") | code.isNull(), F.concat(F.lit("&"), x)).otherwise(spelled)
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), read), "")).otherwise(c)
+
+
+@cache
+def _marks() -> tuple[str, str]:
+    """Letters with marks and what they are without; marks by themselves stand last and have no partner."""
+    pairs = []
+    for code in [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(ch))
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    loose = "".join(chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code)))
+    return "".join(a for a, _ in pairs) + loose, "".join(b for _, b in pairs)
+
+
+def bare(c: Column) -> Column:
+    """c without the marks of Latin, Greek and Cyrillic letters."""
+    return F.translate(c, *_marks())
+
+
 def clean_text(c: Column) -> Column:
     """C1. Null gives the empty string."""
+    return cleaned(unescaped(c))
+
+
+def cleaned(c: Column) -> Column:
+    """C1 of a text whose entities are read."""
     text = F.translate(F.coalesce(c, F.lit("")), "\u00a0\u200b\u200e", " ")
     text = replaced(text, (CITATION, " "), (EDIT, " "), (EMPTY_BRACKET, " "), (ISO_PAREN, " "))
     return F.trim(stripped(squeezed(text), " ,;|·•–—-"))
@@ -82,7 +136,7 @@ def clean_name(c: Column) -> Column:
 
 def split_values(c: Column) -> Column:
     """Array of cleaned values; separators act before white space is squeezed."""
-    text = replaced(F.translate(F.coalesce(c, F.lit("")), "\u00a0", " "), (CITATION, " "), (EDIT, " "))
+    text = replaced(F.translate(unescaped(F.coalesce(c, F.lit(""))), "\u00a0", " "), (CITATION, " "), (EDIT, " "))
     return F.filter(F.transform(F.split(text, SEPARATORS), clean_name), lambda x: (x != "") & ~is_placeholder(x))
 
 
@@ -94,8 +148,8 @@ def split_camel_run(c: Column) -> Column:
 
 
 def key(c: Column) -> Column:
-    """C8 on text without combining marks: a comparison key of Latin letters and digits."""
-    return F.trim(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", " "))
+    """A comparison key of Latin letters and digits."""
+    return F.trim(F.regexp_replace(bare(F.lower(clean_text(c))), "[^a-z0-9]+", " "))
 
 
 def label_key(c: Column) -> Column:
@@ -109,8 +163,8 @@ def display_title(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    """C12 on text without combining marks: case, punctuation and spacing do not count, all scripts stay."""
-    text = F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "'’", "")
+    """Case, marks, punctuation and spacing do not count, all scripts stay."""
+    text = F.translate(bare(F.lower(trimmed(F.coalesce(c, F.lit(""))))), "'’", "")
     return F.trim(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}]+", " "))
 
 
@@ -120,8 +174,11 @@ def search_key(c: Column) -> Column:
 
 
 def ordered_distinct(values: Column, keys: Column) -> Column:
-    """The values whose key is not blank and stands at no earlier place."""
-    return F.filter(values, lambda x, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+    """The values whose key stands at no earlier place."""
+    # An array of one holds both lists while they are compared, so that neither is computed again for each value.
+    both = F.array(F.arrays_zip(values.alias("v"), keys.alias("k")))
+    first = lambda a: F.filter(a, lambda x, i: F.array_position(a["k"], x["k"]) == i + 1)
+    return F.get(F.transform(both, lambda a: F.transform(first(a), lambda x: x["v"])), F.lit(0))
 
 
 def dedupe_names(values: Column) -> Column:
@@ -132,18 +189,18 @@ def dedupe_names(values: Column) -> Column:
 
 def multi_values(c: Column) -> Column:
     """S3: a pipe string as trimmed, non-empty values, each once whatever its case."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), trimmed), lambda x: x != "")
     return ordered_distinct(parts, F.transform(parts, F.lower))
 
 
 def plain_values(c: Column) -> Column:
     """As S3, repeats kept."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), trimmed), lambda x: x != "")
 
 
 def parse_year(c: Column, above: int = 1900, below: int = 2100) -> Column:
     """Whole numbers strictly between the bounds."""
-    text = F.trim(c.cast("string"))
+    text = trimmed(c.cast("string"))
     year = F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.try_cast("int"))
     return F.when((year > above) & (year < below), year)
 

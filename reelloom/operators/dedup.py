@@ -9,28 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The first row of each key; n_seen counts the rows of the key."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_n": F.row_number().over(w.orderBy(order)), "n_seen": F.count("*").over(w)})
-    return ranked.filter("_n = 1").drop("_n")
+    """The first row of each key; n_seen counts the rows of the key. A key's rows are reduced before the shuffle."""
+    return best_by(df, keys, [F.col(order).isNull(), F.col(order)], "n_seen")
+
+
+def best_by(df: DataFrame, keys: list[str], order: list[Column], count: str) -> DataFrame:
+    """The least row of each key by an order, and the number of its rows."""
+    rest = [c for c in df.columns if c not in keys]
+    found = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_row"), F.count("*").alias(count))
+    return found.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns], count)
 
 
 def canonical_key(df: DataFrame, key: str, year: str, url: str, order: str = "seq") -> DataFrame:
     """df and ckey: a row's own key, or that of the first row with its url if their years agree.
 
-    Rows without a url take no part in that lookup; each is a partition of its own there, so that
-    the missing url is no hot key. Only the first key of a url ever counts, so one window does.
+    The first row of a url is found by an aggregate and joined back, one row a url, so a url of very many
+    rows is reduced before the shuffle and its join is one that Spark may split. Rows without a url
+    take no part; each has a join key of its own, so that the missing url is no hot key.
     """
-    address = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "#.*$", "")
-    df = df.withColumn("_url", address)
-    spread = F.when(F.col("_url") == "", F.col(order).cast("string"))
-    w = Window.partitionBy("_url", spread).orderBy(order)
-    first = F.first(F.struct(F.col(key).alias("k"), F.col(year).alias("y"))).over(w)
-    found = df.withColumn("_first", first)
-    same = (F.col("_url") != "") & F.col("_first.y").eqNullSafe(F.col(year))
+    df = df.withColumn("_url", F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "#.*$", ""))
+    named = df.filter("_url <> ''").groupBy("_url").agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(year).alias("y")), order).alias("_first"))
+    spread = F.when(F.col("_url") == "", F.concat(F.lit("\x00"), F.col(order).cast("string"))).otherwise(F.col("_url"))
+    found = df.withColumn("_url", spread).join(named, "_url", "left")
+    same = F.col("_first").isNotNull() & F.col("_first.y").eqNullSafe(F.col(year))
     return found.withColumn("ckey", F.when(same, F.col("_first.k")).otherwise(F.col(key))).drop("_url", "_first")
 
 
@@ -48,17 +53,13 @@ def merge_candidates(df: DataFrame, key: str, year: str, url: str, fields: list[
 
 def richest(df: DataFrame, key: str, year: str, url: str, filled: str, order: str = "seq") -> DataFrame:
     """D3: the row of each canonical key and year with most fields, ties to the earliest; n_rows of the key."""
-    keyed = canonical_key(df, key, year, url, order)
-    w = Window.partitionBy("ckey", year)
-    ranked = keyed.withColumns({"_n": F.row_number().over(w.orderBy(F.desc(filled), order)), "n_rows": F.count("*").over(w)})
-    return ranked.filter("_n = 1").drop("_n")
+    return best_by(canonical_key(df, key, year, url, order), ["ckey", year], [-F.col(filled), F.col(order)], "n_rows")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Incoming rows replace existing ones of their key and keep the id; new keys get ids after the largest.
 
-    action is kept, updated or inserted. New ids follow a count by key hash range and a rank in
-    it, so no single task orders them all.
+    action is kept, updated or inserted. New ids are given by `number`.
     """
     values = [c for c in existing.columns if c not in (*keys, id_col)]
     old = existing.select(*keys, F.col(id_col).alias("_old"), *[F.col(c).alias(f"_old_{c}") for c in values])
@@ -74,36 +75,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], id_col: st
     return rest.select(*out).unionByName(ids.select(*out))
 
 
-#: The cuts of `number` are searched in two steps of about this many.
-STEP = 32
-
-
-def number(df: DataFrame, order: list[str], name: str = "id", bins: int = 1024) -> DataFrame:
-    """Ids 1..n in the order of the columns, with no global sort in one task.
+def number(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Ids 1..n in the order of the columns, nulls first, with no global sort in one task.
 
-    Rows are cut into ranges at quantiles of a first-column rank; ranks within a range are added
-    to the counts of the ranges before it. The ranges come from the values alone, so ties never
-    straddle one.
+    Rows are range-partitioned by all the columns and sorted there; a row's place in its partition is
+    added to the counts of the partitions before it. The sorted rows are kept, so counts and
+    places come from the same partitions.
     """
-    first = order[0]
-    if dict(df.dtypes)[first] in ("int", "bigint", "smallint", "date", "double"):
-        place = F.coalesce(F.col(first).cast("double"), F.lit(float("-inf")))
-    else:
-        text = F.coalesce(F.col(first).cast("string"), F.lit(""))
-        place = F.conv(F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    placed = df.withColumn("_place", place)
-    cuts = placed.agg(F.percentile_approx("_place", [i / bins for i in range(1, bins)], 10 * bins).alias("c")).withColumn("c", F.array_distinct("c"))
-    # How many cuts lie below a place: first among every STEP-th of them, then among the STEP that follow.
-    coarse = F.filter("c", lambda e, i: (i + 1) % STEP == 0)
-    cuts = cuts.withColumn("coarse", coarse)
-    ranged = placed.join(F.broadcast(cuts), how="cross")  # one row of at most bins cuts
-    ranged = ranged.withColumn("_k", F.coalesce(F.size(F.filter("coarse", lambda e: e < F.col("_place"))), F.lit(0)) * STEP)
-    near = F.size(F.filter(F.slice("c", F.col("_k") + 1, F.lit(STEP)), lambda e: e < F.col("_place")))
-    ranged = ranged.withColumn("_bin", F.col("_k") + F.coalesce(near, F.lit(0))).drop("c", "coarse", "_k")
-    sizes = ranged.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bin").orderBy(*order))
-    return ranged.withColumn("_r", rank).join(F.broadcast(before), "_bin").withColumn(name, F.col("_before") + F.col("_r")).drop("_place", "_bin", "_r", "_before")
+    held = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    low = (1 << 33) - 1  # the id's lower bits number the rows of a partition
+    placed = held.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit(low)) + 1})
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_r")).drop("_m", "_part", "_r", "_before")
 
 
 def enqueue(queue: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -145,8 +129,7 @@ def first_hit(hits: DataFrame, year: Column, word: str) -> DataFrame:
 
 def fill_gaps(works: DataFrame, credits: DataFrame, fields: list[str], source: str, most_cast: int = 10) -> DataFrame:
     """Empty arrays of works filled from the best match (least rank) of credits by key and year; filled lists which."""
-    w = Window.partitionBy("key", "year").orderBy("rank")
-    best = credits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("key", "year", *[F.col(f).alias(f"_c_{f}") for f in fields])
+    best = best_by(credits.select("key", "year", "rank", *fields), ["key", "year"], [F.col("rank")], "_n").select("key", "year", *[F.col(f).alias(f"_c_{f}") for f in fields])
     joined = works.join(best, ["key", "year"], "left")
     offered = {f: F.coalesce(F.slice(f"_c_{f}", 1, most_cast) if f == "actors" else F.col(f"_c_{f}"), F.array().cast("array<string>")) for f in fields}
     takes = {f: (F.size(f) == 0) & (F.size(offered[f]) > 0) for f in fields}

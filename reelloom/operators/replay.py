@@ -100,9 +100,9 @@ def sessions(replayed: DataFrame) -> DataFrame:
 
 
 def compared_guesses(replayed: DataFrame, works: DataFrame) -> DataFrame:
-    """Accepted guesses with everything that G5 says of them; works is the keyed pool, of bounded size."""
+    """Accepted guesses with everything that G5 says of them; works is the keyed pool. Spark broadcasts it if it is small."""
     taken = replayed.filter("attempt IS NOT NULL").select("session_id", "game_date", "seq", "attempt", "pool_index", "mystery_index")
-    guess, hidden = F.broadcast(side(works, "g")), F.broadcast(side(works, "m"))
+    guess, hidden = side(works, "g"), side(works, "m")
     return compare(taken.join(guess, F.col("pool_index") == F.col("g_pool_index")).join(hidden, F.col("mystery_index") == F.col("m_pool_index")))
 
 
@@ -146,7 +146,7 @@ def clues(replayed: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
     )
     none = lambda t: F.lit(None).cast(t)
     earned = cells.distinct().select("session_id", "seq", F.lit("earn").alias("what"), "attribute", F.col("cell").alias("n"), none("int").alias("used_before"), none("boolean").alias("over"))
-    hidden = replayed.select("session_id", "mystery_index").distinct().join(F.broadcast(sizes), F.col("mystery_index") == F.col("pool_index"))
+    hidden = replayed.select("session_id", "mystery_index").distinct().join(sizes, F.col("mystery_index") == F.col("pool_index"))
     size = hidden.select("session_id", F.lit(-1).cast("long").alias("seq"), F.lit("size").alias("what"), "attribute", F.col("n_cells").alias("n"), none("int").alias("used_before"), none("boolean").alias("over"))
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +204,7 @@ def purchasable(session_mystery: DataFrame, cells: DataFrame, sizes: DataFrame)
     counted = cells.groupBy("session_id", "attribute").agg(F.count("*").alias("n"))
     place = F.array_position(F.array(*map(F.lit, ATTRIBUTES)), F.col("attribute"))
     left = (
-        session_mystery.join(F.broadcast(sizes), F.col("mystery_index") == F.col("pool_index"))
+        session_mystery.join(sizes, F.col("mystery_index") == F.col("pool_index"))
         .join(counted, ["session_id", "attribute"], "left")
         .filter(F.coalesce("n", F.lit(0)) < F.col("n_cells"))
         .groupBy("session_id")

@@ -37,21 +37,25 @@ def search(titles: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
 def batch_search(titles: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Q2: query_id, place, id, rank for each row of queries (query_id, query).
 
-    Queries and titles meet on three-letter pieces of the title's key, so that the join is on a key:
-    a query takes its first piece, a title all its different ones, with and without spaces. A
-    query shorter than three letters is matched against pieces of its own length.
+    Queries and titles meet on three-letter pieces of the title's key, so that the join is on a key: a
+    title takes all its different pieces, with and without spaces, a query only the one that fewest
+    titles hold, so a common piece meets none but queries that have no other. A query shorter than
+    three letters is matched against pieces of its own length.
     """
     asked = queries.withColumn("q", query_parts(F.col("query"))).select("query_id", F.col("q.text").alias("text"), F.col("q.year").alias("q_year")).filter("text <> ''")
-    compact = F.replace("text", F.lit(" "), F.lit(""))
-    probes = asked.withColumn("piece", F.explode(F.array_distinct(F.array(F.substring("text", 1, 3), F.substring(compact, 1, 3)))))
 
-    def pieces(c: Column) -> list[Column]:
+    def pieces(c: Column, size: int) -> Column:
         n = F.length(c)
-        whole = lambda size: F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: c.substr(i, F.lit(size))))
-        return [F.coalesce(whole(size), F.array().cast("array<string>")) for size in (1, 2, 3)]
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: c.substr(i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
     squeezed = F.replace(F.col("key"), F.lit(" "), F.lit(""))
-    cut = titles.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces(F.col("key")), *pieces(squeezed)))))
+    own = F.array_distinct(F.concat(*[pieces(c, size) for c in (F.col("key"), squeezed) for size in (1, 2, 3)]))
+    cut = titles.withColumn("piece", F.explode(own))
+    counts = cut.groupBy("piece").agg(F.count("*").alias("n"))
+    forms = asked.withColumn("form", F.explode(F.array_distinct(F.array("text", F.replace("text", F.lit(" "), F.lit(""))))))
+    form = F.col("form")
+    probes = forms.withColumn("piece", F.explode(F.when(F.length(form) < 3, F.array(form)).otherwise(pieces(form, 3)))).join(counts, "piece", "left")
+    probes = probes.groupBy("query_id", "text", "q_year", "form").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
     hit, rank = _match(F.col("text"))
     met = cut.join(probes, "piece").filter(hit & (F.col("q_year").isNull() | (F.col("q_year") == F.col("year"))))
     found = met.select("query_id", "id", "title", "key", "year", rank.alias("rank")).distinct()

@@ -7,12 +7,15 @@ Guess log: one session a user and week of events. Attempt log: one address a use
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import dedup, selection
 from ..session import table
 
-SALT, EPOCH, POOL = "loom", "2024-01-01", 38
+SALT, EPOCH = "loom", "2024-01-01"
+#: A session's guesses name this many works from its mystery on; past the last work, two name none.
+REACH, MISSING = 40, 2
 ATTRIBUTES = ["year", "genre", "cast", "director", "production_house", "music_director", "writer"]
 #: The catalogue's array columns by attribute.
 ARRAYS = {"genre": "genres", "cast": "actors", "director": "directors", "production_house": "houses", "music_director": "music", "writer": "writers"}
@@ -68,53 +71,63 @@ def key_sql(column: str) -> str:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The POOL works that guesses name, with pool_index from 0 in order of id: a top-k, then one row each."""
-    first = star(spark, sf_dir).orderBy("movie_id").limit(POOL)
-    return first.withColumn("pool_index", F.row_number().over(Window.orderBy("movie_id")) - 1)
+    """All works, with pool_index from 0 in order of id; kept, as many queries use it more than once."""
+    return dedup.number(star(spark, sf_dir), ["movie_id"], "pool_index").withColumn("pool_index", (F.col("pool_index") - 1).cast("int"))
+
+
+def n_works(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "orders").count()
 
 
 def guess_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, game_date, seq, ts, kind (guess, unlock, lifeline), pool_index (two of 40 name no work), attribute, value_index."""
+    """session_id, game_date, seq, ts, kind (guess, unlock, lifeline), pool_index, mystery_index, attribute, value_index."""
     week = F.to_date(F.date_trunc("week", "ts"))
     asked = F.pmod("event_id", F.lit(8))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select(
         F.concat_ws("-", "user_id", week.cast("string")).alias("session_id"),
         week.alias("game_date"),
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "signup", "unlock").when(F.col("event_type") == "error", "lifeline").otherwise("guess").alias("kind"),
-        F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(40)).cast("int").alias("pool_index"),
+        F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(REACH)).alias("step"),
         F.when(asked == 7, "budget").otherwise(F.element_at(F.array(*map(F.lit, ATTRIBUTES)), (F.least(asked, F.lit(6)) + 1).cast("int"))).alias("attribute"),
         F.when(F.pmod("event_id", F.lit(3)) == 0, F.pmod("event_id", F.lit(5)).cast("int")).alias("value_index"),
     )
+    n = n_works(spark, sf_dir)
+    days = daily_works(spark, events.select("game_date").distinct(), n)
+    guessed = F.pmod(F.col("mystery_index") + F.col("step"), F.lit(n + MISSING)).cast("int")
+    return events.join(days, "game_date").withColumn("pool_index", guessed).drop("step")
 
 
 GUESS_SQL = """
-events_log AS (
-  SELECT user_id || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS session_id, CAST(date_trunc('week', ts) AS DATE) AS game_date,
-         event_id AS seq, ts,
-         CASE event_type WHEN 'signup' THEN 'unlock' WHEN 'error' THEN 'lifeline' ELSE 'guess' END AS kind,
-         CAST(((CAST(round(value * 100) AS BIGINT) % 40) + 40) % 40 AS INTEGER) AS pool_index
-  FROM events),
-pool AS (
-  SELECT *, row_number() OVER (ORDER BY movie_id) - 1 AS pool_index FROM (SELECT * FROM star ORDER BY movie_id LIMIT 38)),
+pool AS (SELECT *, row_number() OVER (ORDER BY movie_id) - 1 AS pool_index FROM star),
+size AS (SELECT count(*) AS n FROM orders),
 shuffled AS (
   SELECT pool_index, row_number() OVER (ORDER BY sha256('loom:' || CAST(pool_index AS VARCHAR))) - 1 AS place FROM pool),
+events_base AS (
+  SELECT user_id || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS session_id, CAST(date_trunc('week', ts) AS DATE) AS game_date,
+         event_id AS seq, ts, event_id, CASE event_type WHEN 'signup' THEN 'unlock' WHEN 'error' THEN 'lifeline' ELSE 'guess' END AS kind,
+         ((CAST(round(value * 100) AS BIGINT) % 40) + 40) % 40 AS step
+  FROM events),
 mystery AS (
   SELECT session_id, pool_index AS mystery_index
-  FROM (SELECT DISTINCT session_id, game_date FROM events_log)
-  JOIN shuffled ON place = ((date_diff('day', DATE '2024-01-01', game_date) % 38) + 38) % 38)
+  FROM (SELECT DISTINCT session_id, game_date FROM events_base) CROSS JOIN size
+  JOIN shuffled ON place = ((date_diff('day', DATE '2024-01-01', game_date) % n) + n) % n),
+events_log AS (
+  SELECT b.session_id, b.game_date, b.seq, b.ts, b.event_id, b.kind, CAST((m.mystery_index + b.step) % (n + 2) AS INTEGER) AS pool_index
+  FROM events_base b JOIN mystery m USING (session_id) CROSS JOIN size)
 """
 
 
-def mysteries(events: DataFrame, n: int = POOL, salt: str = SALT, epoch: str = EPOCH) -> DataFrame:
-    """session_id, mystery_index: the pool in the order of salted digests, indexed by the day."""
-    spark = events.sparkSession
-    digest: Column = F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
-    shuffled = spark.range(n).select(F.col("id").cast("int").alias("mystery_index"), (F.row_number().over(Window.orderBy(digest)) - 1).alias("place"))
-    sessions = events.select("session_id", "game_date").distinct()
-    days = F.pmod(F.datediff("game_date", F.lit(epoch).cast("date")), F.lit(n))
-    return sessions.withColumn("place", days).join(F.broadcast(shuffled), "place").select("session_id", "mystery_index")
+def daily_works(spark: SparkSession, days: DataFrame, n: int, salt: str = SALT, epoch: str = EPOCH) -> DataFrame:
+    """game_date, mystery_index: the works in the order of salted digests, indexed by the day."""
+    shuffled = selection.shuffled(spark.range(n).withColumn("movie_id", F.col("id")).select("movie_id"), salt)
+    placed = days.withColumn("place", F.pmod(F.datediff("game_date", F.lit(epoch).cast("date")), F.lit(n)).cast("long"))
+    return placed.join(shuffled, "place").select("game_date", F.col("movie_id").cast("int").alias("mystery_index"))
+
+
+def mysteries(events: DataFrame) -> DataFrame:
+    return events.select("session_id", "mystery_index").distinct()
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import comparison as cmp
 from ..operators import dedup, queue, replay, search
 from ..session import table
-from .adapters import ATTEMPT_SQL, EPOCH, GUESS_SQL, STAR_SQL, attempts, guess_events, key_sql, mysteries, pool
+from .adapters import ATTEMPT_SQL, EPOCH, GUESS_SQL, STAR_SQL, attempts, guess_events, key_sql, mysteries, n_works, pool
 
 Q, S = {}, {}
 
@@ -102,8 +102,8 @@ sizes AS (SELECT session_id, attribute, n_cells FROM mystery JOIN (
 
 def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The replayed log and the keyed pool of works."""
-    events, works = guess_events(spark, sf_dir), cmp.with_keys(pool(spark, sf_dir))
-    return replay.replay(events, works, mysteries(events)), works
+    events, works = guess_events(spark, sf_dir), pool(spark, sf_dir)
+    return replay.replay(events.drop("mystery_index"), works, mysteries(events)), cmp.with_keys(works)
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,10 +236,21 @@ def g22(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", replay.puzzle_number(F.to_date("ts"), EPOCH).alias("number"))
 
 
-@query("q4_not_guessed", REPLAY_SQL + "SELECT m.session_id, p.movie_id FROM mystery m CROSS JOIN pool p WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = m.session_id AND a.pool_index = p.pool_index)")
+OFFERED = 12
+
+
+@query(
+    "q4_not_guessed",
+    REPLAY_SQL
+    + f"""SELECT o.session_id, p.movie_id FROM (SELECT session_id, (mystery_index + unnest(range({OFFERED}))) % n AS i FROM mystery CROSS JOIN size) o JOIN pool p ON p.pool_index = o.i
+WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = o.session_id AND a.pool_index = p.pool_index)""",
+)
 def q4(spark, sf_dir):
+    """Of the titles offered to each session, a list of fixed length from its mystery on, those not yet guessed."""
     replayed, works = log(spark, sf_dir)
-    offered = replayed.select("session_id").distinct().join(F.broadcast(works.select("pool_index", "movie_id")), how="cross")  # a pool of fixed size
+    steps = F.explode(F.sequence(F.lit(0), F.lit(OFFERED - 1)))
+    rows = replayed.select("session_id", "mystery_index").distinct().withColumn("step", steps)
+    offered = rows.withColumn("pool_index", F.pmod(F.col("mystery_index") + F.col("step"), F.lit(n_works(spark, sf_dir))).cast("int")).join(works.select("pool_index", "movie_id"), "pool_index")
     return search.not_guessed(offered, replayed.filter("attempt IS NOT NULL"), ["session_id", "pool_index"]).select("session_id", "movie_id")
 
 

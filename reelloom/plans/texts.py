@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..functions.normal import with_bare, with_composed
 from ..operators import comparison, dedup, pages, quality, replay
 from ..sources import files
 from ..streaming import jobs
-from ..session import table
+from ..session import shared_dir, table
 from .adapters import STAR_SQL, attempts, guess_events, key_sql, mysteries, pool, star
 from .logs import STATE_SQL, state
 
@@ -40,7 +40,7 @@ CLEAN_SQL = r"trim(trim(trim(regexp_replace(replace(coalesce({0}, ''), chr(160),
 
 @query("c1_clean_text", f"SELECT doc_id, {CLEAN_SQL.format('text')} AS cleaned FROM documents")
 def c1(spark, sf_dir):
-    return with_composed(docs(spark, sf_dir), "text", "whole").select("doc_id", tx.clean_text(F.col("whole")).alias("cleaned"))
+    return with_composed(docs(spark, sf_dir), "text", "whole").select("doc_id", tx.cleaned(F.col("whole")).alias("cleaned"))
 
 
 LINES_SQL = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
@@ -300,11 +300,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which executors share; our own only where it is unset."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reelloom-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    """A fresh folder in the one that executors share."""
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query(
@@ -424,7 +421,7 @@ def t3(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     events = guess_events(spark, sf_dir)
     known = pool(spark, sf_dir).select("pool_index", F.lit(True).alias("known"))
-    rows = events.filter("kind <> 'lifeline'").join(mysteries(events), "session_id").join(F.broadcast(known), "pool_index", "left").fillna(False, ["known"])
+    rows = events.filter("kind <> 'lifeline'").join(known, "pool_index", "left").fillna(False, ["known"])
     folder = f"{scratch(spark)}/log"
     rows.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known").write.parquet(folder)
     stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema)
@@ -433,5 +430,5 @@ def t3(spark, sf_dir):
 
 def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What t3_session_fold must equal."""
-    events, works = guess_events(spark, sf_dir), comparison.with_keys(pool(spark, sf_dir))
-    return replay.sessions(replay.replay(events, works, mysteries(events))).select("session_id", "status", "used", "bonus_unlocked")
+    events, works = guess_events(spark, sf_dir), pool(spark, sf_dir)
+    return replay.sessions(replay.replay(events.drop("mystery_index"), works, mysteries(events))).select("session_id", "status", "used", "bonus_unlocked")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of our own where it is unset and all runs on this machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if current is None:
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = named or tempfile.mkdtemp(prefix="reelloom-checkpoint-")
+        context.setCheckpointDir(current)
+    return named or current
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -36,10 +36,10 @@ def as_works(rows: DataFrame) -> DataFrame:
     def values(c: str) -> Column:
         if kinds[c] == "string":
             return tx.multi_values(F.col(c))
-        trimmed = F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+        trimmed = F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.trimmed), lambda x: x != "")
         return tx.ordered_distinct(trimmed, F.transform(trimmed, F.lower))
 
-    plain = [F.trim("movie_name").alias("title"), tx.parse_year(F.col("year")).alias("year"), F.trim("language").alias("language"), F.trim("wikipedia_url").alias("url")]
+    plain = [tx.trimmed(F.col("movie_name")).alias("title"), tx.parse_year(F.col("year")).alias("year"), tx.trimmed(F.col("language")).alias("language"), tx.trimmed(F.col("wikipedia_url")).alias("url")]
     return rows.select(*plain, *[values(c).alias(n) for c, n in zip(LISTS, ["genres", "actors", "directors", "houses", "music", "writers"], strict=True)])
 
 
