@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir, table
+
+__all__ = ["broadcast_if_small", "count_words", "cut", "join_by_count", "shared_dir", "table", "words"]
+
 #: What separates words in every operator: the space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current is None:
-        current = named or tempfile.mkdtemp(prefix="reelloom-checkpoint-")
-        context.setCheckpointDir(current)
-    return named or current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
@@ -56,13 +37,13 @@ def broadcast_if_small(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
 HOT_KEYS = 10_000
 
 
-def join_by_count(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
+def join_by_count(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, hint: str | None = None) -> DataFrame:
     """left (of so many rows, kept) joined to right, which has one row a key and in n its number of rows in left.
 
     Keys with a HOT_KEYS-th of the rows or more are at most HOT_KEYS: they are broadcast, so no row of theirs
-    is shuffled. The others, none of which has more, are joined by shuffle.
+    is shuffled. The others, none of which has more, are joined as Spark or the hint chooses.
     """
     least = max(2, -(-rows // HOT_KEYS))
     hot, rest = right.filter(F.col(n) >= least).drop(n), right.filter(F.col(n) < least).drop(n)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint(hint) if hint else rest, on)
     return left.join(F.broadcast(hot), on).unionByName(cold)

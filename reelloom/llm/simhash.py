@@ -116,7 +116,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     blocks = blocks or fit_blocks(count, radius)
     keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), blocks, radius)).alias("key")).select("fp", "key.choice", "key.bits")
     shared = cut(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"))
-    able = cut(join_by_count(keyed, shared, ["choice", "bits"], "n", count * comb(blocks, radius)).select("fp").distinct())
+    able = cut(join_by_count(keyed, shared, ["choice", "bits"], "n", count * comb(blocks, radius), "merge").select("fp").distinct())
     wide = F.bit_count("fp") % 2 == 1 if radius % 2 else F.lit(True)
     n_near = len(_masks(near))
     words = F.transform(
