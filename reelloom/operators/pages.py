@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,48 +154,70 @@ def structure(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(task, ROW)
 
 
+def _span(x: str | None) -> int:
+    """A span that is no number counts 1; others are 1 to 100."""
+    try:
+        return max(1, min(int((x or "").strip()), 100))
+    except ValueError:
+        return 1
+
+
+def _covered(cells: list[tuple[int, str | None, str | None]]) -> Iterator[tuple[int, int, int]]:
+    """Which cell stands at each row and column, from (row, rowspan, colspan) in order of row and column."""
+    taken: dict[tuple[int, int], int] = {}
+    by_row: dict[int, list[int]] = {}
+    for i, (r, _, _) in enumerate(cells):
+        by_row.setdefault(r, []).append(i)
+    for r in range(cells[-1][0] + 1):
+        c = 0
+        for i in by_row.get(r, []):
+            while (r, c) in taken:
+                yield taken[r, c], r, c
+                c += 1
+            down, right = _span(cells[i][1]), _span(cells[i][2])
+            for y in range(1, down):
+                for x in range(right):
+                    taken[r + y, c + x] = i
+            for _ in range(right):
+                yield i, r, c
+                c += 1
+        while (r, c) in taken:
+            yield taken[r, c], r, c
+            c += 1
+
+
 def grid(rows: DataFrame) -> DataFrame:
     """Cells at every place they cover; spans that are no numbers count 1, others at most 100.
 
-    Placing is a scan of one table, so a table is one group; its cells are bounded by its page.
+    Tables are dealt out by page and number and placed one after another as their cells come by in
+    order; one table is held at a time, and its cells are bounded by its page.
     """
     cells = rows.filter("section = 'cell'")
-    schema = cells.schema
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        def span(x) -> int:
-            try:
-                n = int(str(x).strip())
-            except ValueError:
-                return 1
-            return max(1, min(n, 100)) if n else 1
-
-        taken: dict[tuple[int, int], int] = {}
-        out = []
-        pdf = pdf.sort_values(["row", "col"]).reset_index(drop=True)
-        last = int(pdf["row"].max())
-        by_row = {r: g.index.tolist() for r, g in pdf.groupby("row")}
-        for r in range(last + 1):
-            c = 0
-            for i in by_row.get(r, []):
-                while (r, c) in taken:
-                    out.append((taken[r, c], r, c))
-                    c += 1
-                down, right = span(pdf.at[i, "rowspan"]), span(pdf.at[i, "colspan"])
-                for y in range(down):
-                    for x in range(right):
-                        if y or x:
-                            taken[r + y, c + x] = i
-                for _ in range(right):
-                    out.append((i, r, c))
-                    c += 1
-            while (r, c) in taken:
-                out.append((taken[r, c], r, c))
-                c += 1
-        found = pdf.loc[[i for i, _, _ in out]].reset_index(drop=True)
-        return found.assign(row=pd.array([r for _, r, _ in out], "Int32"), col=pd.array([c for _, _, c in out], "Int32"))
-
-    return cells.groupBy("page_id", "table_no").applyInPandas(place, schema)
+    keys = ["page_id", "table_no", "row", "col"]
+
+    def placed(table: list[dict]) -> list[dict]:
+        return [table[i] | {"row": r, "col": c} for i, r, c in _covered([(x["row"], x["rowspan"], x["colspan"]) for x in table])]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_table: list[dict] = []
+        out: list[dict] = []
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for x in batch.to_pylist():
+                if open_table and (x["page_id"], x["table_no"]) != (open_table[0]["page_id"], open_table[0]["table_no"]):
+                    out += placed(open_table)
+                    open_table = []
+                open_table.append(x)
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if open_table:
+            out += placed(open_table)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return cells.repartition("page_id", "table_no").sortWithinPartitions(*keys).mapInArrow(task, cells.schema)
 
 
 # Labels of list-page columns and infobox rows in order of preference.

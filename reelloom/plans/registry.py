@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, logs, texts
+from . import catalogue, logs, sheets, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [catalogue, logs, texts]
+MODULES = [catalogue, logs, sheets, texts]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,44 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """An array of objects with real arrays, or one object a line."""
+    """Files that each hold an array of objects with real arrays, or one object a line. A file whose top level is no array is an error."""
+    if not lines:
+        odd = spark.read.text(path, wholetext=True).filter(~F.col("value").rlike(r"^[\s\ufeff]*\["))
+        if not odd.isEmpty():
+            raise ValueError(f"a file under {path} holds no array")
     return spark.read.schema(NESTED).json(path, multiLine=not lines)
 
 
+#: The names by which a field may come, first those that win.
+ALIASES = {
+    "genres": ["genres", "genre"], "actors": ["cast", "cast_members"], "directors": ["directors", "director"], "houses": ["production_houses", "production_house"],
+    "music": ["music_directors", "music_director"], "writers": ["writers", "writer"],
+}
+
+
+def engine_works(rows: DataFrame) -> DataFrame:
+    """movie_id, title, year and arrays from singular or plural fields, text or arrays; repeats stay, years lie in 1801 to 2199."""
+    kinds = dict(rows.dtypes)
+    none = F.array().cast("array<string>")
+
+    def values(c: str) -> Column:
+        return tx.plain_values(F.col(c)) if kinds[c] == "string" else F.filter(F.transform(c, lambda x: tx.trimmed(x.cast("string"))), lambda x: x != "")
+
+    def first(names: list[str], give, default: Column) -> Column:
+        found = default
+        for n in reversed([n for n in names if n in kinds]):
+            found = F.when(F.col(n).isNotNull(), give(n)).otherwise(found)
+        return found
+
+    text = lambda c: F.col(c).cast("string")
+    return rows.select(
+        first(["movie_id", "id"], lambda c: F.col(c).cast("long"), F.lit(0).cast("long")).alias("movie_id"),
+        tx.trimmed(first(["movie_name", "title"], text, F.lit(""))).alias("title"),
+        (tx.parse_year(F.col("year"), 1800, 2200) if "year" in kinds else F.lit(None).cast("int")).alias("year"),
+        *[first(names, values, none).alias(c) for c, names in ALIASES.items()],
+    )
+
+
 def as_works(rows: DataFrame) -> DataFrame:
     """Rows of S1 or S2 as works with arrays (S3) and a parsed year."""
     kinds = dict(rows.dtypes)
