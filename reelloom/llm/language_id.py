@@ -4,13 +4,15 @@ A GRU reads a text's bytes forwards, another backwards; both states together lab
 position, and the positions' probabilities are averaged into the document's. It is trained here,
 in numpy, by backpropagation through time, on windows cut from a bounded sample of labelled
 documents. Prediction reads whole texts: they are cut into segments of SEGMENT bytes, each with
-CONTEXT bytes more on either side to warm the states up, and all segments of a batch run side by
-side, so the work is a fixed number of steps over wide arrays.
+CONTEXT bytes more on either side to warm the states up, as many as a window of the training has,
+and all segments of a batch run side by side, so the work is a fixed number of steps over wide arrays.
 
 Defined results: a null text, or one with no letter, is `und` with score 0; so is every text
 if no labelled row exists. Positions that hold no letter of any alphabet (ASCII other than
-A-Z and a-z) are labelled but not pooled. Repeated rows are predicted alike. Only doc_id, text
-and lang are read, lang only to train; a language with a null or empty name is not learned.
+A-Z and a-z) are labelled but not pooled. Of equal probabilities the first language by name wins.
+Repeated rows are predicted alike. Only text and lang are read, lang only to train; rows with a null
+lang are not learned, an empty name is a name. Other columns are passed along; columns of the input
+named lang_pred or score give way to the result's.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import broadcast_if_small, cut, table
 
 #: Bounds of the training sample: documents of each language, windows of each document, bytes of each window.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 256, 4, 64
-MOST_LANGS = 64
-HIDDEN, STEPS, BATCH, RATE, SEED = 8, 256, 256, 0.02, 7
-SEGMENT, CONTEXT, LANES = 240, 8, 2048
+#: STEPS are for up to LANGS languages; more take more, in proportion.
+HIDDEN, STEPS, LANGS, BATCH, RATE, SEED = 8, 256, 4, 256, 0.02, 7
+SEGMENT, CONTEXT, LANES = 448, 64, 1024
 
 
 def softsign(x: np.ndarray, room: np.ndarray) -> None:
@@ -124,7 +126,7 @@ class ByteLabeller:
         rng = np.random.default_rng(seed)
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
-        chance = 1 / np.bincount(target)[target]
+        chance = 1 / np.maximum(np.bincount(target), 1)[target]
         chance /= chance.sum()
         for count in range(1, steps + 1):
             rows = rng.choice(len(data), batch, p=chance)
@@ -188,15 +190,13 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_windows: int = SAMPLE_W
     The documents are named by a minimum that Spark takes before the shuffle, so a language with
     most of the rows is no hot group; they alone are read again, and only their windows reach the driver.
     """
-    labelled = docs.filter("coalesce(lang, '') <> '' AND coalesce(text, '') <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
-    langs = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    named = labelled.filter(F.col("lang").isin(langs)) if langs else labelled.limit(0)
-    chosen = named.groupBy("lang", F.pmod("h", F.lit(n_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
-    rows = named.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # MOST_LANGS * n_docs rows at most
+    labelled = docs.filter("lang IS NOT NULL AND coalesce(text, '') <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = cut(labelled.groupBy("lang", F.pmod("h", F.lit(n_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h"))
+    rows = labelled.join(broadcast_if_small(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # n_docs rows of each language at most
     size = F.length("text")
     begins = [F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(size - window, F.lit(1))).cast("int") + 1 for i in range(n_windows)]
-    cut = rows.select("lang", "h", F.array(*[F.encode(F.substring("text", b, F.lit(window)), "utf-8") for b in begins]).alias("windows"))
-    return [(r.lang, [bytes(w) for w in r.windows]) for r in sorted(cut.collect(), key=lambda r: (r.lang, r.h))]
+    taken = rows.select("lang", "h", F.array(*[F.encode(F.substring("text", b, F.lit(window)), "utf-8") for b in begins]).alias("windows"))
+    return [(r.lang, [bytes(w) for w in r.windows]) for r in sorted(taken.collect(), key=lambda r: (r.lang, r.h))]
 
 
 def fit(docs: DataFrame, **options) -> ByteLabeller | None:
@@ -210,21 +210,24 @@ def fit(docs: DataFrame, **options) -> ByteLabeller | None:
     for i, (w, _) in enumerate(pieces):
         data[i, : len(w)] = np.frombuffer(w, "u1")
     model = ByteLabeller(langs)
-    model.train(data.astype(np.intp), np.array([k for _, k in pieces]))
+    model.train(data.astype(np.intp), np.array([k for _, k in pieces]), steps=STEPS * max(1, -(-len(langs) // LANGS)))
     return model
 
 
 def predict(docs: DataFrame, model: ByteLabeller | None, group_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text), and other columns that are passed along."""
     others = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
-    source = docs.select(*[f"`{f.name}`" for f in others], F.coalesce("text", F.lit("")).alias("text"), F.coalesce("text", F.lit("")).rlike(r"\p{L}").alias("_lettered"))
+    lettered = "_lettered"
+    while lettered in docs.columns:
+        lettered += "_"
+    source = docs.select(*[f"`{f.name}`" for f in others], F.coalesce("text", F.lit("")).alias("text"), F.coalesce("text", F.lit("")).rlike(r"\p{L}").alias(lettered))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = shared.value
         for pdf in batches:
             names, scores = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            todo = np.flatnonzero(pdf["_lettered"].to_numpy(bool)) if net else []
+            todo = np.flatnonzero(pdf[lettered].to_numpy(bool)) if net else []
             group, size = [], 0
 
             def flush(group: list, names=names, scores=scores) -> None:
@@ -243,7 +246,7 @@ def predict(docs: DataFrame, model: ByteLabeller | None, group_bytes: int = 1_00
                     group, size = [], 0
             if group:
                 flush(group)
-            yield pdf.drop(columns=["text", "_lettered"]).assign(lang_pred=names, score=scores)
+            yield pdf.drop(columns=["text", lettered]).assign(lang_pred=names, score=scores)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     return source.mapInPandas(task, f"{kept}, lang_pred string, score double")

@@ -112,10 +112,10 @@ def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def patterns(demand: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+def patterns(demand: np.ndarray, rounds: int = 100_000) -> list[tuple[np.ndarray, int]]:
     """(counts by length, how often) that cover demand[1..capacity] exactly; counts are indexed by length.
 
-    rounds bounds the work; the patterns at hand cover the demand at any round.
+    Columns are priced until none improves the linear program; not to get there in so many rounds is an error.
     """
     capacity = len(demand) - 1
     lengths = np.flatnonzero(demand)
@@ -135,6 +135,8 @@ def patterns(demand: np.ndarray, rounds: int = 3000) -> list[tuple[np.ndarray, i
         amount, step = np.linalg.solve(basis, need), np.linalg.solve(basis, column)
         ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = column
+    else:
+        raise RuntimeError(f"the linear program is not solved after {rounds} rounds")
     amount = np.maximum(np.linalg.solve(basis, need), 0)
     left = demand.astype(int).copy()
     plan = []

@@ -7,7 +7,9 @@ query meets every candidate block, one pair of bounded blocks a group. A group s
 coordinates first: what the rest can add is at most the product of the lengths of what is left.
 A pair whose bound stays below the query's k-th best score so far is dropped, and a query is done
 with a group when even the longest vector left cannot reach it. The starting bound comes from the
-longest HEAD candidates, which all groups know. Whatever survives is scored in whole numbers;
+longest HEAD candidates, which all groups know: each query is scored against them first, and a band
+of candidates whose longest cannot reach a query's k-th score there never meets it, nor is it sent to
+a query block that no query of it needs. Whatever survives is scored in whole numbers;
 bounds are widened by their rounding error, so nothing that belongs to the result is dropped.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
@@ -45,7 +47,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         F.forall("v", lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     )
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return kept.withColumn("v", whole(F.col("v"))).withColumn("norm", F.sqrt(squares))
+    kept = kept.withColumn("norm", F.sqrt(squares)).withColumn("v", whole(F.col("v")))
+    return kept.withColumn("long", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
 
 
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
@@ -77,6 +80,17 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def first_bound(q_ids: np.ndarray, q: np.ndarray, head: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k-th best score of each query among the longest vectors of all: a bound from below, or minus infinity."""
+    h_ids, h = head
+    floor = np.full(len(q), -np.inf)
+    if len(h) > k and len(q):
+        s = q.astype("f8") @ h.T.astype("f8")
+        s[q_ids[:, None] == h_ids[None, :]] = -np.inf
+        floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return floor
+
+
 def search_block(
     q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, head: tuple[np.ndarray, np.ndarray]
 ) -> tuple[list, list, list]:
@@ -88,14 +102,7 @@ def search_block(
     qr, cr = q.astype("f8") @ turn, c.astype("f8") @ turn
     q_long, c_long = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
     q_rest, c_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
-    # The k-th best among the longest vectors of all is a bound from below for every query.
-    h_ids, h = head
-    floor = np.full(len(q), -np.inf)
-    if len(h) > k:
-        s = q.astype("f8") @ h.T.astype("f8")
-        s[q_ids[:, None] == h_ids[None, :]] = -np.inf
-        floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        floor[~np.isfinite(floor)] = -np.inf
+    floor = first_bound(q_ids, q, head, k)
     slack = 1e-9 * (q_long * (c_long.max() if len(c) else 0)) + 1e-6
     kept_s: list[np.ndarray] = [np.empty(0, "i8")] * len(q)
     kept_i: list[np.ndarray] = [np.empty(0, c_ids.dtype)] * len(q)
@@ -128,7 +135,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     """query_id, rank, vec_id, score: for each row of queries its k best among the rows of vectors with another id."""
     spark = vectors.sparkSession
     base = cut(usable(vectors, id_col, vector_col))
-    asked = cut(usable(queries, id_col, vector_col).select("id", "v"))
+    asked = cut(usable(queries, id_col, vector_col).select("id", "v", "long"))
     size = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     n_asked = asked.count()
     out = "query_id long, vec_id long, score long"
@@ -145,15 +152,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     n_bands = min(MOST_BANDS, -(-size.n // CANDIDATE_BLOCK))
     edges = base.approxQuantile("norm", [i / n_bands for i in range(1, n_bands)], 0.1 / n_bands) if n_bands > 1 else []
     band = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e > F.col("norm"))) if edges else F.lit(0)
-    banded = base.select("id", "v", band.alias("band"))
-    parts = cut(banded.groupBy("band").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).cast("int").alias("parts")))
+    banded = base.select("id", "v", "long", band.alias("band"))
+    parts = cut(banded.groupBy("band").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).cast("int").alias("parts"), F.max("long").alias("longest")))
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(floor=first_bound(pdf["id"].to_numpy("i8"), matrix(pdf["v"], dims), shared.value[1], k))
     q_blocks = -(-n_asked // QUERY_BLOCK)
+    known = asked.mapInPandas(bounded, "id long, v array<bigint>, long double, floor double").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    reach = F.col("long") * F.col("longest") * (1 + 1e-9) + 1e-6
+    needed = cut(known.join(F.broadcast(parts), reach >= F.col("floor")).select("id", "v", "qb", "band", "parts"))  # MOST_BANDS rows at most
+    askers = needed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "v", "band", "part", "qb")
     blocked = banded.join(F.broadcast(parts), "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    candidates = blocked.select("id", "v", "band", "part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    pairs = parts.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
-        "band", "part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb")
-    )
-    askers = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).join(pairs, "qb")
+    candidates = blocked.join(needed.select("band", "qb").distinct(), "band").select("id", "v", "band", "part", "qb")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         turn, head = shared.value

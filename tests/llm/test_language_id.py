@@ -56,3 +56,48 @@ def test_segments_do_not_change_short_texts():
     text = bytes(range(97, 122)) * 40
     one = model.pool([text])
     assert np.allclose(model.pool([text, b"short", text])[0], one[0], atol=1e-5)
+
+
+def test_pooling_against_a_plain_loop_over_bytes():
+    """Whole texts, state by state with no segments: what segments with their warm-up leave out is nothing that shows."""
+    soft = lambda x: x / (1 + np.abs(x))
+
+    def states(gru, data):
+        n = gru.inner.shape[1]
+        h, out = np.zeros(n), []
+        for b in data:
+            u = gru.inner.astype("f8") @ h
+            g = gru.table[:, b].astype("f8")
+            z, r = (1 + soft(g[:n] + u[:n])) / 2, (1 + soft(g[n : 2 * n] + u[n : 2 * n])) / 2
+            h = (1 - z) * h + z * soft(g[2 * n :] + r * u[2 * n :])
+            out.append(h)
+        return np.array(out)
+
+    rng = np.random.default_rng(4)
+    texts = [("the quick brown fox " * 150).encode(), "le renard brun et la forêt, ".encode() * 90, b"x", bytes(rng.integers(97, 123, 1500).tolist())]
+    data = np.full((64, li.WINDOW), 32, "u1")
+    for i in range(64):
+        t, at = texts[i % 2], int(rng.integers(0, 1000))
+        data[i] = np.frombuffer(t[at : at + li.WINDOW], "u1")
+    model = li.ByteLabeller(["en", "fr"])
+    model.train(data.astype(np.intp), np.arange(64) % 2, steps=60)
+    got = model.pool(texts)
+    for k, text in enumerate(texts):
+        both = np.concatenate([states(model.forward, text), states(model.backward, text[::-1])[::-1]], axis=1)
+        score = both @ model.out.T.astype("f8") + model.bias[:, 0]
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        want = p[li.LETTER[np.frombuffer(text, "u1")]].mean(0)
+        assert np.allclose(got[k], want, atol=2e-3), k
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    model = li.ByteLabeller(["a", "b"])
+    model.out[:] = 0
+    rows = [(1, "same", 1.5, "x", True), (1, "same", 2.5, "y", False), (2, "other", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string, _lettered boolean")
+    out = li.predict(docs, model)
+    assert out.columns == ["doc_id", "_lettered", "lang_pred", "score"]
+    assert [(r.lang_pred, r.score) for r in out.collect()] == [("a", 0.5)] * 3
+    named = spark.createDataFrame([(i, f"some text {i}", lang) for i, lang in enumerate(["", "", "q", None] + [f"l{k:02d}" for k in range(70)])], "doc_id long, text string, lang string")
+    assert {lang for lang, _ in li.sample(named)} == {"", "q"} | {f"l{k:02d}" for k in range(70)}
