@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 # Elements whose text is noise, and how an open element closes when another opens.
 NOISE = {"sup", "style", "script"}
@@ -329,7 +330,7 @@ def release_text(cells: DataFrame) -> DataFrame:
 
 def list_candidates(pages: DataFrame, host: str = "https://en.wikipedia.org") -> DataFrame:
     """Candidates of list pages (page_id, html, year): one row a work and page, the first wins."""
-    cells = grid(structure(pages).filter(F.array_contains("classes", "wikitable")))
+    cells = cut(grid(structure(pages).filter(F.array_contains("classes", "wikitable"))))  # read twice below
     where = located_columns(release_tables(header_columns(cells)))
     cols = where.groupBy("page_id", "table_no", "header_row").pivot("field", list(LIST_COLUMNS)).agg(F.first("col"))
     named = cols.select("page_id", "table_no", "header_row", *[F.col(f).alias(f"{f}_col") for f in LIST_COLUMNS]).filter("title_col IS NOT NULL")
@@ -451,8 +452,8 @@ def display_titles(rows: DataFrame, fallback: DataFrame) -> DataFrame:
 
 def records(pages: DataFrame) -> DataFrame:
     """One record a page (page_id, html, url, list_year, title); the list's year counts, another in the box is noted."""
-    rows = structure(pages)
-    box = infobox_rows(rows)
+    rows = cut(structure(pages))  # read by each of the parts below
+    box = cut(infobox_rows(rows))
     asked = [f for f in INFOBOX_FIELDS if f != "release"]
     fields = looked_up(box).groupBy("page_id").pivot("field", asked).agg(F.first("values"))
     none = F.array().cast("array<string>")

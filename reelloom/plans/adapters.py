@@ -2,7 +2,7 @@
 
 Catalogue ("star"): one work an order; its title, genres, people and houses come from its line
 items in the order (l_linenumber, l_partkey, l_suppkey), since line numbers alone are not unique.
-Guess log: one session a user and week of events. Attempt log: one address a user.
+Guess log: one session a user and week of events. Attempt log: one address a user and day.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, year, name, seq, ts, outcome (success, failed, pending), error."""
     outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "success").otherwise("pending")
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("https://example.org/wiki/u"), F.col("user_id")).alias("url"),
+        F.concat(F.lit("https://example.org/wiki/u"), F.col("user_id"), F.lit("/"), F.to_date("ts").cast("string")).alias("url"),
         (F.lit(2000) + F.pmod("user_id", F.lit(24))).cast("int").alias("year"),
         F.concat(F.lit("Work "), F.col("user_id")).alias("name"),
         F.col("event_id").alias("seq"),
@@ -146,7 +146,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ATTEMPT_SQL = """
 attempts AS (
-  SELECT 'https://example.org/wiki/u' || CAST(user_id AS VARCHAR) AS url, CAST(2000 + user_id % 24 AS INTEGER) AS year, 'Work ' || CAST(user_id AS VARCHAR) AS name,
+  SELECT 'https://example.org/wiki/u' || CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS url, CAST(2000 + user_id % 24 AS INTEGER) AS year, 'Work ' || CAST(user_id AS VARCHAR) AS name,
          event_id AS seq, ts,
          CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' ELSE 'pending' END AS outcome,
          CASE WHEN event_type = 'error' THEN props END AS error

@@ -275,6 +275,11 @@ def w1(spark, sf_dir):
     return queue.pending(state(spark, sf_dir)).select("url", "year", "name")
 
 
+@query("w1_pending_of_years", STATE_SQL + "SELECT url, year, name FROM queue WHERE status = 'pending' AND year IN (2003, 2011) ORDER BY year, name, url LIMIT 50")
+def w1y(spark, sf_dir):
+    return queue.pending(state(spark, sf_dir), [2003, 2011], 50).select("url", "year", "name")
+
+
 @query("w2_failed", STATE_SQL + "SELECT url, attempts, year FROM queue WHERE status = 'failed'")
 def w2(spark, sf_dir):
     return queue.failed(state(spark, sf_dir)).select("url", "attempts", "year")

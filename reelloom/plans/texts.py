@@ -14,7 +14,7 @@ from ..sources import files
 from ..streaming import jobs
 from ..session import shared_dir, table
 from .adapters import STAR_SQL, attempts, guess_events, key_sql, mysteries, pool, star
-from .logs import STATE_SQL, state
+from .logs import REPLAY_SQL, STATE_SQL, state
 
 Q, S = {}, {}
 
@@ -279,9 +279,18 @@ def x9(spark, sf_dir):
     return items.select("page_id", F.array_join(pages.cell_values(F.col("items"), F.lit("")), "|").alias("values"))
 
 
-@query("x18_genres", r"SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'western') THEN 1 ELSE 0 END AS western FROM documents")
+def genres_sql() -> str:
+    """Every genre by its first place, each rule of the vocabulary spelled out."""
+    word = lambda w: f"instr(padded, ' {w} ')" if len(w) <= 4 else f"CASE WHEN instr(padded, ' {w} ') > 0 THEN instr(padded, ' {w} ') ELSE instr(padded, '{w}') END"
+    found = " UNION ALL ".join(f"SELECT doc_id, '{genre}' AS genre, {word(w)} AS place FROM p" for w, genre in pages.GENRES.items())
+    return f"""WITH p AS (SELECT doc_id, ' ' || lower(trim(coalesce(text, ''))) || ' ' AS padded FROM documents),
+f AS (SELECT doc_id, genre, min(place) AS place FROM ({found}) WHERE place > 0 GROUP BY ALL)
+SELECT d.doc_id, coalesce(string_agg(f.genre, '|' ORDER BY f.place, f.genre), '') AS genres FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("x18_genres", genres_sql())
 def x18(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_contains(pages.genres(F.coalesce("text", F.lit(""))), "Western").cast("int").alias("western"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(pages.genres(F.coalesce("text", F.lit(""))), "|").alias("genres"))
 
 
 @query("x19_titles", r"SELECT page_id, trim(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ,;|·•–—-') AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS raw FROM pages)")
@@ -416,16 +425,29 @@ def t4(spark, sf_dir):
     return _drain(spark, jobs.first_guesses(stream, "60 days"), "t4", "append").agg(F.count("*").alias("n"))
 
 
-@query("t3_session_fold")
+@query(
+    "t3_session_fold",
+    REPLAY_SQL
+    + """SELECT o.session_id, o.status, o.used, o.bonus_seq IS NOT NULL AS bonus_unlocked, coalesce(a.accepted, '') AS accepted FROM outcome o
+LEFT JOIN (SELECT session_id, string_agg(CAST(pool_index AS VARCHAR), ',' ORDER BY attempt) AS accepted FROM accepted GROUP BY session_id) a USING (session_id)
+WHERE EXISTS (SELECT 1 FROM e WHERE e.session_id = o.session_id AND e.kind <> 'lifeline')""",
+)
 def t3(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    events = guess_events(spark, sf_dir)
+    """The log in files that hold its events in any order, read a few at a time; the last state of each session."""
     known = pool(spark, sf_dir).select("pool_index", F.lit(True).alias("known"))
-    rows = events.filter("kind <> 'lifeline'").join(known, "pool_index", "left").fillna(False, ["known"])
+    rows = guess_events(spark, sf_dir).filter("kind <> 'lifeline'").join(known, "pool_index", "left").fillna(False, ["known"])
     folder = f"{scratch(spark)}/log"
-    rows.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known").write.parquet(folder)
-    stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema)
-    return _drain(spark, jobs.session_states(stream), "t3", "update").drop("epoch")
+    rows.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known").repartition(4, F.xxhash64("seq")).write.parquet(folder)
+    stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema, maxFilesPerTrigger="2")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, jobs.ROCKSDB)
+    try:
+        found = _drain(spark, jobs.session_states(stream), "t3", "update")
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    last = F.max_by(F.struct("status", "used", "bonus_unlocked", "accepted"), "epoch")
+    return found.groupBy("session_id").agg(last.alias("x")).select("session_id", "x.*")
 
 
 def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

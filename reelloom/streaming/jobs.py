@@ -41,30 +41,40 @@ def first_guesses(guesses: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 SESSION_ROW = "session_id string, status string, used int, bonus_unlocked boolean, accepted string"
+EVENT = "seq long, kind string, pool_index int, mystery_index int, known boolean"
+
+
+def fold(events: list[tuple]) -> tuple[str, int, bool, str]:
+    """status, used, bonus_unlocked and accepted of a session's events (EVENT) in order of seq."""
+    status, used, bonus, taken = "active", 0, False, []
+    for _, kind, pool_index, mystery_index, known in sorted(events, key=lambda e: e[0]):
+        if kind == "unlock":
+            bonus = bonus or (status != "won" and used >= BASE)
+        elif kind == "guess" and status == "active" and used < BASE + BONUS * bonus and known and pool_index not in taken:
+            taken.append(pool_index)
+            used += 1
+            if pool_index == mystery_index:
+                status = "won"
+            elif bonus and used >= BASE + BONUS:
+                status = "lost"
+    return status, used, bonus, ",".join(map(str, taken))
 
 
 class SessionFold(StatefulProcessor):
-    """A session as a fold over its events in order of seq; events must arrive in order across batches."""
+    """A session as a fold over its events in order of seq, whatever the order in which they arrive.
+
+    The events are the state, so one that comes late takes its place among the others; a session
+    holds its own events only. An event that comes again with its seq counts once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "status string, used int, bonus boolean, accepted string")
+        self.events = handle.getMapState("events", "seq long", "kind string, pool_index int, mystery_index int, known boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        status, used, bonus, accepted = self.state.get() if self.state.exists() else ("active", 0, False, "")
-        taken = [int(x) for x in accepted.split(",") if x]
-        events = pd.concat(list(rows)).sort_values("seq")
-        for e in events.itertuples():
-            if e.kind == "unlock":
-                bonus = bonus or (status != "won" and used >= BASE)
-            elif e.kind == "guess" and status == "active" and used < BASE + BONUS * bonus and e.known and e.pool_index not in taken:
-                taken.append(int(e.pool_index))
-                used += 1
-                if e.pool_index == e.mystery_index:
-                    status = "won"
-                elif bonus and used >= BASE + BONUS:
-                    status = "lost"
-        accepted = ",".join(map(str, taken))
-        self.state.update((status, used, bonus, accepted))
+        for pdf in rows:
+            for e in pdf.itertuples():
+                self.events.updateValue((int(e.seq),), (e.kind, int(e.pool_index), int(e.mystery_index), bool(e.known)))
+        status, used, bonus, accepted = fold([(seq, *rest) for (seq,), rest in self.events.iterator()])
         yield pd.DataFrame({"session_id": [key[0]], "status": [status], "used": [used], "bonus_unlocked": [bonus], "accepted": [accepted]}).astype({"used": "int32"})
 
     def close(self) -> None:
@@ -74,7 +84,7 @@ class SessionFold(StatefulProcessor):
 def session_states(events: DataFrame) -> DataFrame:
     """The state of each session after each batch. events: session_id, seq, kind, pool_index, mystery_index, known.
 
-    Needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider.
+    Needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider when the stream starts.
     """
     return events.groupBy("session_id").transformWithStateInPandas(SessionFold(), SESSION_ROW, "Update", "None")
 
