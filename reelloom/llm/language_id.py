@@ -6,6 +6,7 @@ in numpy, by backpropagation through time, on windows cut from a bounded sample
 documents. Prediction reads whole texts: they are cut into segments of SEGMENT bytes, each with
 CONTEXT bytes more on either side to warm the states up, as many as a window of the training has,
 and all segments of a batch run side by side, so the work is a fixed number of steps over wide arrays.
+A text is read as if at least CONTEXT spaces stood before and after it.
 
 Defined results: a null text, or one with no letter, is `und` with score 0; so is every text
 if no labelled row exists. Positions that hold no letter of any alphabet (ASCII other than
