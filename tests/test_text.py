@@ -77,3 +77,42 @@ def test_plausible_redirects(spark):
     cases = [("List of films of 2020", "Eureka", False), ("Yogi (2007 film)", "Yogi", True), ("Yogi", "Yogi (film)", True), ("Baahubali characters", "Sivudu", False), ("Other", "Yogi", False), (None, "Yogi", False)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, n string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", tx.is_plausible(F.col("t"), F.col("n"))).collect())
+
+
+def test_marks_entities_and_white_space(spark):
+    from reelloom.operators import search
+
+    one = spark.range(1)
+    get = lambda *c: list(one.select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first())
+    lit = F.lit
+    assert get(tx.name_key(lit("José Núñez")), tx.name_key(lit("José Núñez")), tx.name_key(lit("Łódź ΆΒΓ й"))) == ["jose nunez", "jose nunez", "łodz αβγ и"]
+    assert get(tx.search_key(lit("Amélie & Co")), tx.key(lit("Straße ñ"))) == ["amelie and co", "stra e n"]
+    assert get(tx.split_values(lit("AT&amp;T, B &#233;&#x1F600;; &nosuch; x")), tx.unescaped(lit("a & b &lt;c&gt &eacute;"))) == [["AT&T", "B é😀", "&nosuch", "x"], "a & b <c&gt é"]
+    assert get(tx.parse_year(lit("\t2001\n")), tx.multi_values(lit("a\t|b|A | ")), tx.plain_values(lit(" x|x\n"))) == [2001, ["a", "b"], ["x", "x"]]
+    titles = spark.createDataFrame([(1, "Amélie", 2001), (2, "Other", 2001)], "id long, title string, year int").withColumn("key", tx.search_key(F.col("title")))
+    assert [r.id for r in search.search(titles, "amelie").collect()] == [1]
+    asked = spark.createDataFrame([(7, "AMÉLIE"), (8, "th er"), (9, "zz"), (10, "o")], "query_id long, query string")
+    assert sorted((r.query_id, r.id) for r in search.batch_search(titles, asked).collect()) == [(7, 1), (8, 2), (10, 2)]
+
+
+def test_a_file_that_is_no_array_is_refused(spark, tmp_path):
+    from reelloom.sources import files
+
+    (tmp_path / "a.json").write_text(' [{"movie_name": "A", "year": "2001", "cast": ["x"]}]')
+    assert files.read_json(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.json").write_text('{"movie_name": "B"}')
+    with pytest.raises(ValueError, match="no array"):
+        files.read_json(spark, str(tmp_path))
+
+
+def test_sessions_fold_alike_whatever_the_order_of_arrival():
+    import random
+
+    from reelloom.streaming import jobs
+
+    events = [(i, "guess", i % 11, 10, i % 11 != 3) for i in range(9)] + [(9, "unlock", 0, 10, True), (10, "guess", 10, 10, True)]
+    want = jobs.fold(events)
+    assert want == ("won", 8, True, "0,1,2,4,5,6,7,10")
+    for seed in range(20):
+        random.Random(seed).shuffle(events)
+        assert jobs.fold(events) == want
