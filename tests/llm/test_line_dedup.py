@@ -37,3 +37,10 @@ def test_edge_rows(spark, edge_docs, no_docs):
 def test_repeated_rows_are_one_document(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ld.dedup(docs).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
+
+
+def test_one_window_in_half_of_all_documents(spark):
+    rows = [(i, f"head {i}\nsame a\nsame b\nsame c\ntail {i}" if i % 2 else f"x {i}\ny {i}\nz {i}\nw {i}") for i in range(1000)]
+    got = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == (t if i % 2 == 0 or i == 1 else f"head {i}\ntail {i}")

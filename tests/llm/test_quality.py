@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from reelloom.llm import quality
@@ -86,3 +87,55 @@ def test_each_statistic_alone_can_reject(spark):
 def test_quantiles():
     assert quality.chi2_cdf(quality.chi2_quantile(0.75, 5), 5) == pytest.approx(0.75)
     assert quality.chi2_quantile(0.95, 1) == pytest.approx(3.8415, abs=1e-3)
+
+
+def concentrate(x, start, keep=quality.KEEP):
+    """Concentration steps in numpy from (mean, covariance), to a set that stays: mean, covariance, log-determinant."""
+    near = quality.chi2_quantile(keep, quality.DIMS)
+    widen = keep / quality.chi2_cdf(near, quality.DIMS + 2)
+    ridge = np.diag([(s * quality.SCALE) ** 2 for s in quality.LEAST_SD])
+    mean, cov = start
+    chosen = None
+    for _ in range(200):
+        off = x - mean
+        far = np.einsum("ij,ij->i", off, np.linalg.solve(cov, off.T).T)
+        order = np.argsort(far, kind="stable")[: int(np.ceil(keep * len(x)))]
+        if chosen is not None and set(order) == chosen:
+            break
+        chosen = set(order)
+        mean, cov = x[order].mean(0), np.cov(x[order].T, bias=True) * widen + ridge
+    return mean, cov, np.linalg.slogdet(cov)[1]
+
+
+def test_estimates_against_numpy_from_many_starts(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(0, 60, (400, 5)), "b": rng.normal(0, 30, (150, 5)) + 200}
+    groups["a"][:80] += 700  # a fifth that lies elsewhere
+    rows = [(g, int(k * 1000 + i), *map(int, np.round(v))) for k, (g, x) in enumerate(groups.items()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "g string, key long, " + ", ".join(f"x{i} long" for i in range(5)))
+    found = {r.g: r for r in quality.estimates(vectors).collect()}
+    for g in groups:
+        x = np.array([r[2:] for r in rows if r[0] == g], float)
+        r = found[g]
+        factor = np.array([[r[f"l{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        mean, cov = np.array([r[f"m{i}"] for i in range(5)]), factor @ factor.T
+        again = concentrate(x, (mean, cov))
+        assert np.allclose(again[0], mean, atol=6) and abs(again[2] - np.linalg.slogdet(cov)[1]) < 0.1  # a fixed point but for rings of distance
+        ridge = np.diag([(s * quality.SCALE) ** 2 for s in quality.LEAST_SD])
+        best = min(concentrate(x, (p.mean(0), np.cov(p.T, bias=True) + ridge))[2] for p in (x[rng.choice(len(x), 10, replace=False)] for _ in range(60)))
+        assert np.linalg.slogdet(cov)[1] < best + 0.15
+    assert np.abs(np.array([found["a"][f"m{i}"] for i in range(5)])).max() < 40  # the fifth does not pull
+
+
+def test_verdict_is_the_distance_from_the_groups_estimate(spark, corpus):
+    got = quality.judge(corpus).collect()
+    assert list(got[0].asDict()) == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "distance"]
+    cutoff = quality.chi2_quantile(1 - quality.TAIL, quality.DIMS)
+    assert all(r.kept == (not r.base_failed and r.distance <= cutoff) for r in got)
+
+
+def test_filter_on_edge_documents_and_on_none(spark, edge_docs, no_docs):
+    kept = [(r.doc_id, r.n_words) for r in quality.judge(edge_docs).collect() if r.kept]
+    assert quality.filter_docs(edge_docs).count() == len(kept)
+    assert quality.filter_docs(edge_docs).columns == edge_docs.columns
+    assert quality.filter_docs(no_docs).count() == 0

@@ -94,3 +94,34 @@ def test_components_of_a_long_chain(spark):
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     assert {r.node: r.component for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_one_fingerprint_and_one_component_with_half_of_all_rows(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(n))
+    base = text(300).split()
+    rows = [(i, " ".join(base)) for i in range(400)]
+    for i in range(400, 600):
+        words = list(base)
+        words[rng.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, text(120)) for i in range(600, 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = sorted({fp for fp, _ in got.values()})
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 3:
+                parent[root(a)] = root(b)
+    least = {}
+    for d, (fp, _) in got.items():
+        least[root(fp)] = min(d, least.get(root(fp), d))
+    assert {d: c for d, (_, c) in got.items()} == {d: least[root(fp)] for d, (fp, _) in got.items()}
+    assert simhash.fit_blocks(10**6) == 8 < simhash.fit_blocks(10**10)
