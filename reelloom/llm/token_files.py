@@ -67,7 +67,8 @@ class WordCache:
     #: Letters that every Unicode version calls letters, and marks that are neither letter, number nor apostrophe.
     LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@[-`{-~"
     PARTS = re.compile(f" ?[{LETTERS}]+| ?[{MARKS}]+|\n")
-    PLAIN = re.compile(f"(?: ?[{LETTERS}]+| ?[{MARKS}]+)(?:[{MARKS}]+|\n?[{LETTERS}]+|\n[{MARKS}]+)*")
+    #: Possessive, so that a long run that does not fit is given up at once.
+    PLAIN = re.compile(f"(?: ?[{LETTERS}]++| ?[{MARKS}]++)(?:[{MARKS}]++|\n?[{LETTERS}]++|\n[{MARKS}]++)*+")
     #: Texts without any of these are cut by one pattern into what the pre-tokenizer makes of them.
     OTHER = re.compile(f"[^{LETTERS}{MARKS}0-9 \n]")
     TOGETHER = ("  ", " \n", "\n ", "\n\n\n", "<|")

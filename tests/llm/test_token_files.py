@@ -23,6 +23,36 @@ def test_cached_words_equal_the_tokenizer(name, kind):
         assert np.frombuffer(words.ids(t), words.type).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("name", "kind"), KINDS)
+def test_long_runs_take_time_in_proportion(name, kind):
+    """Runs of letters or marks before a digit or a foreign letter, in texts that take the careful path."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    words, whole = token_files.WordCache(P.path(name), kind), Tokenizer.from_file(P.path(name))
+    for n in [*range(1, 70), 200, 1000, 10_000]:
+        for run in ("abcdefghij" * n)[:n], ("-=_+" * n)[:n], ("ab-=" * n)[:n], ("é" * n):
+            for text in f"日本  {run}9", f"{run}日 \tx {run}7":
+                began = time.perf_counter()
+                fits = bool(words.PLAIN.fullmatch(run + "9"))
+                assert not fits and time.perf_counter() - began < 0.05
+                if n <= 200:
+                    assert np.frombuffer(words.ids(text), words.type).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("name", "kind"), KINDS)
+def test_texts_with_long_words_equal_the_tokenizer(name, kind):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    words, whole = token_files.WordCache(P.path(name), kind), Tokenizer.from_file(P.path(name))
+    pieces = ["a", "ab", "é", "-", "=", "9", "日", " ", "  ", "\t", "\n", "'s", "http://", "İ"]
+    for _ in range(400):
+        text = "".join(p * rng.choice([1, 1, 2, 31, 64, 90]) if len(p) == 1 else p for p in rng.choices(pieces, k=rng.randint(1, 12)))
+        assert np.frombuffer(words.ids(text), words.type).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_round_trip(spark, edge_docs, no_docs, tmp_path):
     from tokenizers import Tokenizer
 
