@@ -47,3 +47,15 @@ def join_by_count(left: DataFrame, right: DataFrame, on: list[str], n: str, rows
     hot, rest = right.filter(F.col(n) >= least).drop(n), right.filter(F.col(n) < least).drop(n)
     cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest.hint(hint) if hint else rest, on)
     return left.join(F.broadcast(hot), on).unionByName(cold)
+
+#: DuckDB has no CRC-32: its table by eight steps for each byte, then one step for each byte of a list.
+CRC_SQL = """
+crc_steps AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+
+
+def crc32_sql(octets: str, tab: str = "tab") -> str:
+    """CRC-32 of a list of bytes; tab is crc.tab, and WITH RECURSIVE has CRC_SQL."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c // 256, {tab}[xor(c % 256, b) + 1])), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, pii, quality, simhash, token_files, topk, url_filters
+from . import language_id, line_dedup, merkle, mixing, packing, pii, quality, simhash, token_files, topk, url_filters
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_packing": packing.op8_packing,
         "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql():
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op6_topk": topk.OP6_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }
