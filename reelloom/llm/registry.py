@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, merkle, mixing, packing, pii, quality, simhash, token_files, topk, url_filters
+from . import language_id, line_dedup, merkle, mixing, packing, piecewise, pii, quality, simhash, token_files, topk, url_filters
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality.op10_quality_rules,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_fingerprints": piecewise.op13_fingerprints,
     }
 
 
