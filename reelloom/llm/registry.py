@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, merkle, mixing, packing, piecewise, pii, quality, simhash, token_files, topk, url_filters
+from . import language_id, line_dedup, merkle, mixing, packing, piecewise, pii, quality, simhash, token_files, topk, url_filters, variants
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_packing": packing.op8_packing,
         "op9_pii": pii.op9_pii,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_spelling_variants": variants.op11_spelling_variants,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_fingerprints": piecewise.op13_fingerprints,
     }
@@ -28,5 +29,6 @@ def oracle_sql():
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op6_topk": topk.OP6_SQL,
+        "op11_spelling_variants": variants.OP11_SQL,
         "op12_merkle_manifest": merkle.OP12_SQL,
     }
