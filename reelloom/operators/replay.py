@@ -1,16 +1,16 @@
 """Replaying a guess log: accepted guesses, refusals, bonus, clues, session outcomes and roll-ups.
 
 The log is events (session_id, seq, ts, kind, pool_index, ...); works is a pool with pool_index;
-mystery gives each session's hidden work. All replay is by windows on the session key; only the
-purchase of clues, where each depends on the one before, folds a session in a grouped stage.
+mystery gives each session's hidden work. All replay is by windows on the session key and by
+minima over it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .comparison import ARRAYS, ATTRIBUTES, attribute_values, compare, revealed, shared_values, side
 
 BASE, BONUS, FIRST_CLUE, SECOND_CLUE, MOST_CLUES = 7, 3, 4, 6, 2
@@ -131,64 +131,53 @@ def sizes_by_work(works: DataFrame) -> DataFrame:
     return rows.select("pool_index", "x.attribute", F.size("x.values").alias("n_cells")).filter("n_cells > 0")
 
 
-CLUES = "session_id string, seq long, attribute string, cell int, number int, code string"
-
-
 def clues(replayed: DataFrame, cells: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every lifeline event with the cell it bought or the code of its refusal.
+    """session_id, seq, attribute, cell, number, code: every lifeline event with the cell it bought or the code of its refusal.
 
-    One grouped stage a session folds its lifelines in order over the cells that guesses had
-    earned by then; a session holds at most ten guesses' cells and its own events.
+    A session buys twice at most. The first purchase is the first event that would buy if none had
+    before; the second the first after it that would buy with the first one's cell known. Both are
+    minima by session, reduced before the shuffle, and met by a join; no task holds a session's log.
+    What guesses had earned of an attribute comes to an event as one array, no longer than the
+    attribute has cells.
     """
-    log = replayed.filter("kind = 'lifeline'").select(
-        "session_id", "seq", F.lit("buy").alias("what"), "attribute", F.col("value_index").alias("n"), "used_before",
-        F.coalesce(F.col("seq") > F.col("done_seq"), F.lit(False)).alias("over"),
-    )
-    none = lambda t: F.lit(None).cast(t)
-    earned = cells.distinct().select("session_id", "seq", F.lit("earn").alias("what"), "attribute", F.col("cell").alias("n"), none("int").alias("used_before"), none("boolean").alias("over"))
-    hidden = replayed.select("session_id", "mystery_index").distinct().join(sizes, F.col("mystery_index") == F.col("pool_index"))
-    size = hidden.select("session_id", F.lit(-1).cast("long").alias("seq"), F.lit("size").alias("what"), "attribute", F.col("n_cells").alias("n"), none("int").alias("used_before"), none("boolean").alias("over"))
-
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        totals, known, out, used = {}, {}, [], 0
-        rank = {"size": 0, "earn": 1, "buy": 2}
-        for e in sorted(pdf.itertuples(), key=lambda r: (r.seq, rank[r.what])):
-            if e.what == "size":
-                totals[e.attribute] = int(e.n)
-                continue
-            if e.what == "earn":
-                known.setdefault(e.attribute, set()).add(int(e.n))
-                continue
-            seen = known.setdefault(e.attribute, set())
-            total = totals.get(e.attribute, 0)
-            slots = (e.used_before >= FIRST_CLUE) + (e.used_before >= SECOND_CLUE)
-            named = None if pd.isna(e.n) else int(e.n)
-            if e.over:
-                code = "game_complete"
-            elif used >= MOST_CLUES:
-                code = "no_lifelines"
-            elif used >= slots:
-                code = "lifeline_locked"
-            elif e.attribute not in ATTRIBUTES:
-                code = "bad_attribute"
-            elif not total or len(seen) >= total:
-                code = "attribute_unavailable"
-            elif named is not None and not 0 <= named < total:
-                code = "bad_value_index"
-            elif named in seen:
-                code = "cell_already_revealed"
-            else:
-                code = None
-            cell = None
-            if code is None:
-                cell = named if named is not None else min(set(range(total)) - seen)
-                seen.add(cell)
-                used += 1
-            out.append((key[0], e.seq, e.attribute, cell, used if code is None else None, code))
-        found = pd.DataFrame(out, columns=["session_id", "seq", "attribute", "cell", "number", "code"])
-        return found.astype({"cell": "Int32", "number": "Int32"})
-
-    return log.unionByName(earned).unionByName(size).groupBy("session_id").applyInPandas(fold, CLUES)
+    events = replayed.filter("kind = 'lifeline'").select(
+        "session_id", "seq", "mystery_index", "attribute", "value_index", lifelines_unlocked(F.col("used_before")).alias("slots"), F.coalesce(F.col("seq") > F.col("done_seq"), F.lit(False)).alias("over")
+    )
+    first = cells.groupBy("session_id", "attribute", "cell").agg(F.min("seq").alias("since"))
+    earned = first.groupBy("session_id", "attribute").agg(F.collect_list(F.struct("since", "cell")).alias("earned"))
+    asked = events.join(earned, ["session_id", "attribute"], "left").join(sizes.withColumnRenamed("pool_index", "mystery_index"), ["mystery_index", "attribute"], "left")
+    seen = F.transform(F.filter(F.coalesce("earned", F.array().cast("array<struct<since:bigint,cell:int>>")), lambda x: x.since < F.col("seq")), lambda x: x.cell)
+    asked = cut(asked.select("session_id", "seq", "attribute", "value_index", "slots", "over", F.coalesce("n_cells", F.lit(0)).alias("total"), seen.alias("seen")))
+
+    named = F.col("value_index")
+
+    def refusal(used: Column, seen: Column) -> Column:
+        return (
+            F.when(F.col("over"), "game_complete")
+            .when(used >= MOST_CLUES, "no_lifelines")
+            .when(used >= F.col("slots"), "lifeline_locked")
+            .when(F.col("attribute").isNull() | ~F.col("attribute").isin(ATTRIBUTES), "bad_attribute")
+            .when(F.size(seen) >= F.col("total"), "attribute_unavailable")
+            .when(named.isNotNull() & ~((named >= 0) & (named < F.col("total"))), "bad_value_index")
+            .when(named.isNotNull() & F.array_contains(seen, F.coalesce(named, F.lit(-1))), "cell_already_revealed")
+        )
+
+    def cell(seen: Column) -> Column:
+        free = F.filter(F.sequence(F.lit(0), F.greatest(F.col("total") - 1, F.lit(0))), lambda i: ~F.array_contains(seen, i))
+        return F.coalesce(named, F.array_min(free))
+
+    def purchase(rows: DataFrame, used: int, seen: Column, name: str) -> DataFrame:
+        bought = F.min(F.struct(F.col("seq"), F.col("attribute"), cell(seen).alias("cell")))
+        return rows.filter(refusal(F.lit(used), seen).isNull()).groupBy("session_id").agg(bought.alias(name))
+
+    one = asked.join(purchase(asked, 0, F.col("seen"), "one"), "session_id", "left")
+    after = F.coalesce(F.col("seq") > F.col("one.seq"), F.lit(False))
+    known = F.when(after & (F.col("attribute") == F.col("one.attribute")), F.array_union("seen", F.array("one.cell"))).otherwise(F.col("seen"))
+    both = one.join(purchase(one.filter(after), 1, known, "two"), "session_id", "left")
+    used = after.cast("int") + F.coalesce(F.col("seq") > F.col("two.seq"), F.lit(False)).cast("int")
+    code = refusal(used, known)
+    bought = code.isNull()
+    return both.select("session_id", "seq", "attribute", F.when(bought, cell(known)).alias("cell"), F.when(bought, used + 1).alias("number"), code.alias("code"))
 
 
 def revealed_cells(cells: DataFrame, bought: DataFrame | None = None) -> DataFrame:

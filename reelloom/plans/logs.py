@@ -81,16 +81,16 @@ compared AS (
     )
     + """
   FROM pairs),
-cells AS (
-  SELECT DISTINCT session_id, attribute, CAST(cell AS INTEGER) AS cell FROM (
-    SELECT session_id, 'year' AS attribute, 0 AS cell FROM compared WHERE year = m_year
+earned AS (
+    SELECT session_id, seq, 'year' AS attribute, 0 AS cell FROM compared WHERE year = m_year
     """
     + "".join(
-        f"UNION ALL SELECT session_id, '{a}', i - 1 FROM (SELECT session_id, c_{a}, m_{c}, unnest(range(1, len(m_{c}) + 1)) AS i FROM compared) WHERE "
+        f"UNION ALL SELECT session_id, seq, '{a}', i - 1 FROM (SELECT session_id, seq, c_{a}, m_{c}, unnest(range(1, len(m_{c}) + 1)) AS i FROM compared) WHERE "
         + (f"len(c_{a}) > 0 " if a in cmp.CREW else f"list_contains(c_{a}, m_{c}[i]) ")
         for a, c in cmp.ARRAYS.items()
     )
-    + """)),
+    + """),
+cells AS (SELECT DISTINCT session_id, attribute, CAST(cell AS INTEGER) AS cell FROM earned),
 sizes AS (SELECT session_id, attribute, n_cells FROM mystery JOIN (
     SELECT pool_index, 'year' AS attribute, 1 AS n_cells FROM pool WHERE coalesce(year, 0) <> 0
     """
@@ -148,7 +148,28 @@ def g13(spark, sf_dir):
     return replay.purchasable(hidden, cells, replay.sizes_by_work(works))
 
 
-@query("g14_clues")
+REFUSED_SQL = """CASE WHEN seq > done_seq THEN 'game_complete' WHEN {used} >= 2 THEN 'no_lifelines' WHEN {used} >= slots THEN 'lifeline_locked' WHEN attribute NOT IN ('year', 'genre', 'cast', 'director', 'production_house', 'music_director', 'writer') THEN 'bad_attribute'
+  WHEN len({seen}) >= total THEN 'attribute_unavailable' WHEN value_index NOT BETWEEN 0 AND total - 1 THEN 'bad_value_index' WHEN list_contains({seen}, value_index) THEN 'cell_already_revealed' END"""
+BOUGHT_SQL = "coalesce(value_index, list_min(list_filter(range(total), lambda i: NOT list_contains({seen}, CAST(i AS INTEGER)))))"
+CLUES_SQL = f""",
+asked AS (
+  SELECT l.session_id, l.seq, l.done_seq, CAST((l.used_before >= 4)::INT + (l.used_before >= 6)::INT AS INTEGER) AS slots, CAST(CASE WHEN l.event_id % 3 = 0 THEN l.event_id % 5 END AS INTEGER) AS value_index,
+    CASE WHEN l.event_id % 8 = 7 THEN 'budget' ELSE ['year', 'genre', 'cast', 'director', 'production_house', 'music_director', 'writer'][CAST(least(l.event_id % 8, 6) + 1 AS INTEGER)] END AS attribute
+  FROM coded l WHERE l.kind = 'lifeline'),
+known AS (SELECT a.session_id, a.seq, list(DISTINCT CAST(x.cell AS INTEGER)) AS seen FROM asked a JOIN earned x ON x.session_id = a.session_id AND x.attribute = a.attribute AND x.seq < a.seq GROUP BY a.session_id, a.seq),
+priced AS (
+  SELECT a.*, coalesce(s.n_cells, 0) AS total, coalesce(k.seen, []) AS seen FROM asked a LEFT JOIN sizes s ON s.session_id = a.session_id AND s.attribute = a.attribute LEFT JOIN known k ON k.session_id = a.session_id AND k.seq = a.seq),
+one AS (
+  SELECT session_id, min(seq) AS seq_1, arg_min(attribute, seq) AS attribute_1, arg_min({BOUGHT_SQL.format(seen="seen")}, seq) AS cell_1 FROM priced WHERE {REFUSED_SQL.format(used=0, seen="seen")} IS NULL GROUP BY session_id),
+later AS (
+  SELECT p.*, seq_1, coalesce(p.seq > seq_1, false) AS after_1, CASE WHEN p.seq > seq_1 AND attribute = attribute_1 AND NOT list_contains(seen, CAST(cell_1 AS INTEGER)) THEN list_append(seen, CAST(cell_1 AS INTEGER)) ELSE seen END AS seen_1 FROM priced p LEFT JOIN one USING (session_id)),
+two AS (SELECT session_id, min(seq) AS seq_2 FROM later WHERE after_1 AND {REFUSED_SQL.format(used=1, seen="seen_1")} IS NULL GROUP BY session_id),
+told AS (
+  SELECT *, {REFUSED_SQL.format(used="used", seen="seen_1")} AS code FROM (SELECT l.*, after_1::INT + coalesce(l.seq > seq_2, false)::INT AS used FROM later l LEFT JOIN two USING (session_id)))
+SELECT session_id, seq, attribute, CASE WHEN code IS NULL THEN CAST({BOUGHT_SQL.format(seen="seen_1")} AS INTEGER) END AS cell, CASE WHEN code IS NULL THEN CAST(used + 1 AS INTEGER) END AS number, code FROM told"""
+
+
+@query("g14_clues", REPLAY_SQL + CLUES_SQL)
 def g14(spark, sf_dir):
     replayed, works = log(spark, sf_dir)
     return replay.clues(replayed, replay.cells_by_guess(replay.compared_guesses(replayed, works)), replay.sizes_by_work(works))
