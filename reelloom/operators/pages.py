@@ -6,8 +6,10 @@ A page that cannot be read gives one row of section "error" and never fails the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import batched, groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ CLOSES = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "li"
 STOPS = {"td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "li": {"ul", "ol"}, "p": {"td", "th", "div", "li", "body"}}
 
 ROW = (
-    "page_id long, section string, table_no int, row int, col int, tag string, classes array<string>, rowspan string, colspan string, "
+    "page_id long, place int, section string, table_no int, row int, col int, tag string, classes array<string>, rowspan string, colspan string, "
     "text string, raw string, items array<string>, links array<struct<href:string,text:string>>, date string"
 )
 
@@ -121,16 +123,17 @@ class _Reader(HTMLParser):
         a = n["a"]
         self.rows.append(
             {
-                "section": section, "table_no": place[0], "row": place[1], "col": place[2], "tag": n["tag"],
+                "place": len(self.rows), "section": section, "table_no": place[0], "row": place[1], "col": place[2], "tag": n["tag"],
                 "classes": place[3] if section == "cell" else n["classes"], "rowspan": a.get("rowspan"), "colspan": a.get("colspan"), "text": text,
                 "raw": "".join(n["parts"]), "items": list(n["items"]), "links": [{"href": h, "text": t} for h, t in (links or n["links"])], "date": n["date"],
             }
         )
 
 
-def _read(html: str | None) -> list[dict]:
+def _read(html: str | bytes | None) -> list[dict]:
+    """The rows of a page; bytes must be UTF-8."""
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(bytes(html).decode() if isinstance(html, bytes | bytearray | memoryview) else html or "")
     reader.close()
     while reader.open:
         reader._close()
@@ -150,7 +153,7 @@ def structure(pages: DataFrame) -> DataFrame:
                 except Exception as e:  # a bad page is a row of its own
                     rows.append(dict.fromkeys(columns) | {"page_id": page, "section": "error", "text": str(e)[:1000]})
             found = pd.DataFrame(rows, columns=columns)
-            yield found.astype({"table_no": "Int32", "row": "Int32", "col": "Int32"})
+            yield found.astype({"place": "Int32", "table_no": "Int32", "row": "Int32", "col": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(task, ROW)
 
@@ -163,62 +166,83 @@ def _span(x: str | None) -> int:
         return 1
 
 
-def _covered(cells: list[tuple[int, str | None, str | None]]) -> Iterator[tuple[int, int, int]]:
-    """Which cell stands at each row and column, from (row, rowspan, colspan) in order of row and column."""
-    taken: dict[tuple[int, int], int] = {}
-    by_row: dict[int, list[int]] = {}
-    for i, (r, _, _) in enumerate(cells):
-        by_row.setdefault(r, []).append(i)
-    for r in range(cells[-1][0] + 1):
-        c = 0
-        for i in by_row.get(r, []):
-            while (r, c) in taken:
-                yield taken[r, c], r, c
-                c += 1
-            down, right = _span(cells[i][1]), _span(cells[i][2])
-            for y in range(1, down):
-                for x in range(right):
-                    taken[r + y, c + x] = i
-            for _ in range(right):
-                yield i, r, c
-                c += 1
-        while (r, c) in taken:
-            yield taken[r, c], r, c
-            c += 1
+def _line(hanging: dict[int, list[tuple[int, dict]]], row: int, cells: Iterable[dict]) -> Iterator[tuple[dict, int]]:
+    """Cell and column of all that stands in one row, left to right: its own cells, and those that hang down into it.
+
+    hanging has for each column the cells that reach below the row they stand in, each with its last
+    row; the newest is on top and ends first, as those that it outlasts are dropped.
+    """
+
+    def over(col: int) -> dict | None:
+        stack = hanging.get(col, [])
+        while stack and stack[-1][0] < row:
+            stack.pop()
+        if not stack:
+            hanging.pop(col, None)
+        return stack[-1][1] if stack else None
+
+    col = 0
+    for cell in cells:
+        while (above := over(col)) is not None:
+            yield above, col
+            col += 1
+        last = row + _span(cell["rowspan"]) - 1
+        for _ in range(_span(cell["colspan"])):
+            if last > row:
+                stack = hanging.setdefault(col, [])
+                while stack and stack[-1][0] <= last:
+                    stack.pop()
+                stack.append((last, cell))
+            yield cell, col
+            col += 1
+    while (above := over(col)) is not None:
+        yield above, col
+        col += 1
+
+
+def spread(cells: Iterable[dict]) -> Iterator[tuple[dict, int, int]]:
+    """Cell, row and column of every place of the tables, from cells in order of page, table, row and column.
+
+    Rows are given as they come by; what is held is the cells of one row and those that hang below it.
+    """
+    for _, table in groupby(cells, key=itemgetter("page_id", "table_no")):
+        hanging: dict[int, list[tuple[int, dict]]] = {}
+        row = 0
+        for at, own in groupby(table, key=itemgetter("row")):
+            for empty in range(row, at):
+                if not hanging:
+                    break
+                for cell, col in _line(hanging, empty, ()):
+                    yield cell, empty, col
+            row = at
+            for cell, col in _line(hanging, row, own):
+                yield cell, row, col
+            row += 1
+
+
+#: Placed cells that a task gives on at once.
+PLACED = 5000
 
 
 def grid(rows: DataFrame) -> DataFrame:
     """Cells at every place they cover; spans that are no numbers count 1, others at most 100.
 
-    Tables are dealt out by page and number and placed one after another as their cells come by in
-    order; one table is held at a time, and its cells are bounded by its page.
+    Tables are dealt out by page and number and placed row by row as their cells come by in order.
     """
     cells = rows.filter("section = 'cell'")
-    keys = ["page_id", "table_no", "row", "col"]
-
-    def placed(table: list[dict]) -> list[dict]:
-        return [table[i] | {"row": r, "col": c} for i, r, c in _covered([(x["row"], x["rowspan"], x["colspan"]) for x in table])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_table: list[dict] = []
-        out: list[dict] = []
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for x in batch.to_pylist():
-                if open_table and (x["page_id"], x["table_no"]) != (open_table[0]["page_id"], open_table[0]["table_no"]):
-                    out += placed(open_table)
-                    open_table = []
-                open_table.append(x)
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if open_table:
-            out += placed(open_table)
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return cells.repartition("page_id", "table_no").sortWithinPartitions(*keys).mapInArrow(task, cells.schema)
+        schema = []
+
+        def each() -> Iterator[dict]:
+            for batch in batches:
+                schema[:] = [batch.schema]
+                yield from batch.to_pylist()
+
+        for placed in batched(spread(each()), PLACED):
+            yield pa.RecordBatch.from_pylist([cell | {"row": row, "col": col} for cell, row, col in placed], schema[0])
+
+    return cells.repartition("page_id", "table_no").sortWithinPartitions("page_id", "table_no", "row", "col").mapInArrow(task, cells.schema)
 
 
 # Labels of list-page columns and infobox rows in order of preference.
@@ -446,7 +470,7 @@ def genres_of(listed: Column) -> Column:
 
 def display_titles(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     """page_id, title: the first heading, or the fallback (page_id, title)."""
-    first = rows.filter("section = 'heading' AND tag = 'h1' AND text <> ''").groupBy("page_id").agg(F.first("text").alias("heading"))
+    first = rows.filter("section = 'heading' AND tag = 'h1' AND text <> ''").groupBy("page_id").agg(F.min_by("text", "place").alias("heading"))
     return fallback.join(first, "page_id", "left").select("page_id", tx.display_title(F.coalesce("heading", "title")).alias("title"))
 
 

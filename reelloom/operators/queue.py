@@ -58,14 +58,3 @@ def by_year(queue: DataFrame) -> DataFrame:
 def requeue_failed(queue: DataFrame) -> DataFrame:
     """W5."""
     return queue.withColumn("status", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status")))
-
-
-def counters(queue: DataFrame) -> DataFrame:
-    """The counters of a run."""
-    return queue.agg(
-        F.count("*").alias("queued"),
-        F.count_if(F.col("attempts") > 0).alias("tried"),
-        F.count_if(F.col("status") == "success").alias("succeeded"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
-        F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"),
-    )

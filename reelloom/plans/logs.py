@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import comparison as cmp
 from ..operators import dedup, queue, replay, search
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import files
 from .adapters import ATTEMPT_SQL, EPOCH, GUESS_SQL, STAR_SQL, attempts, guess_events, key_sql, mysteries, n_works, pool
 
 Q, S = {}, {}
@@ -328,7 +331,12 @@ def w5(spark, sf_dir):
 
 @query("w6_counters", STATE_SQL + "SELECT count(*) AS queued, count(*) FILTER (attempts > 0) AS tried, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'failed') AS failed, CAST(sum(attempts) AS BIGINT) AS attempts FROM queue")
 def w6(spark, sf_dir):
-    return queue.counters(state(spark, sf_dir))
+    """Counted while the queue is written."""
+    run = files.Run(f"{shared_dir(spark)}/files-{uuid.uuid4().hex}")
+    kept = run.write(state(spark, sf_dir), "queue", **files.states(tried=F.count_if(F.col("attempts") > 0)))
+    seen = run["queue"]
+    named = {"queued": "rows", "tried": "tried", "succeeded": "success", "failed": "failed", "attempts": "attempts"}
+    return kept.sparkSession.range(1).select(*[F.lit(seen[c]).cast("long").alias(n) for n, c in named.items()])
 
 
 @query("d16_latest_status", "WITH " + ATTEMPT_SQL + "SELECT year, arg_max(outcome, seq) AS outcome, arg_max(url, seq) AS url FROM attempts GROUP BY year")

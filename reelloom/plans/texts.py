@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.normal import with_bare, with_composed
-from ..operators import comparison, dedup, pages, quality, replay
+from ..operators import comparison, dedup, pages, quality, queue, replay
 from ..sources import files
 from ..streaming import jobs
-from ..session import shared_dir, table
+from ..session import cut, shared_dir, table
 from .adapters import STAR_SQL, attempts, guess_events, key_sql, mysteries, pool, star
+from .catalogue import GRADED_SQL
 from .logs import REPLAY_SQL, STATE_SQL, state
 
 Q, S = {}, {}
@@ -43,16 +44,17 @@ def c1(spark, sf_dir):
     return with_composed(docs(spark, sf_dir), "text", "whole").select("doc_id", tx.cleaned(F.col("whole")).alias("cleaned"))
 
 
-LINES_SQL = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+PLACEHOLDER_SQL = """NOT regexp_matches(line, '[\\p{L}\\p{N}]') OR trim(lower(trim(trim(regexp_replace(replace(line, chr(160), ' '), '[\\s]+', ' ', 'g')), ' ,;|·•–—-')), ' .')
+  IN ('n/a', 'na', 'tba', 'tbd', 'unknown', 'none', 'unreleased', 'not known', 'see below', 'see distribution', 'various', 'citation needed')"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-
-
-@query("c2_placeholders", f"SELECT doc_id, count(*) FILTER (NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]')) AS placeholders FROM {LINES_SQL} GROUP BY doc_id")
+@query(
+    "c2_placeholders",
+    f"SELECT doc_id, CAST(place AS INTEGER) AS place, {PLACEHOLDER_SQL} AS placeholder FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS place FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))",
+)
 def c2(spark, sf_dir):
-    return lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(tx.is_placeholder(F.col("line"))).alias("placeholders"))
+    each = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
+    return each.select("doc_id", "place", tx.is_placeholder(F.col("line")).alias("placeholder"))
 
 
 @query("c4_clean_name", f"SELECT p_partkey, trim(trim({CLEAN_SQL.format('p_name')}, ' ,;|')) AS name FROM part")
@@ -91,7 +93,18 @@ def c12(spark, sf_dir):
 WIKI = "https://en.wikipedia.org/wiki/"
 
 
-@query("c14_title_round_trip")
+#: What DuckDB escapes of the characters that a title's path keeps.
+KEPT = {"%3A": ":", "%2F": "/", "%28": "(", "%29": ")", "%27": "''", "%2C": ",", "%21": "!", "%26": "&", "%24": "$"}
+SLUG_SQL = "url_encode(replace(title, ' ', '_'))"
+for _escaped, _char in KEPT.items():
+    SLUG_SQL = f"replace({SLUG_SQL}, '{_escaped}', '{_char}')"
+
+
+@query(
+    "c14_title_round_trip",
+    f"""WITH t AS (SELECT page_id, translate(regexp_extract(url, '^[a-z]+://(.*)$', 1), '#?', '--') AS title FROM pages), u AS (SELECT page_id, '{WIKI}' || {SLUG_SQL} AS url FROM t)
+SELECT page_id, url, replace(url_decode(regexp_extract(url, '^.*/wiki/(.*)$', 1)), '_', ' ') AS title FROM u""",
+)
 def c14(spark, sf_dir):
     titled = table(spark, sf_dir, "pages").withColumn("title", F.translate(F.regexp_extract("url", "^[a-z]+://(.*)$", 1), "#?", "--"))
     return titled.select("page_id", tx.title_to_url(F.col("title"), WIKI).alias("url"), tx.url_to_title(tx.title_to_url(F.col("title"), WIKI)).alias("title"))
@@ -241,13 +254,15 @@ def v2(spark, sf_dir):
     "v3_validity",
     GRADE_SQL
     + """SELECT doc_id, confidence <> 'low' AND source <> '' AND doc_id % 40 + 1990 BETWEEN 2000 AND 2023 AND doc_id % 7 <> 0 AS valid,
-  CAST((confidence = 'low')::INT + (confidence = 'medium' AND NOT box)::INT + (source = '')::INT + (doc_id % 40 + 1990 NOT BETWEEN 2000 AND 2023)::INT + (doc_id % 7 = 0)::INT AS INTEGER) AS n_reasons FROM g""",
+  array_to_string(list_filter([CASE WHEN NOT (good OR kind) THEN 'not a work' WHEN NOT box AND lang <> '' THEN 'other language: ' || lang WHEN NOT box THEN 'language inferred from list membership' END,
+    CASE WHEN source = '' THEN 'empty name' END, CASE WHEN doc_id % 40 + 1990 NOT BETWEEN 2000 AND 2023 THEN 'year outside range: ' || CAST(doc_id % 40 + 1990 AS VARCHAR) END,
+    CASE WHEN doc_id % 7 = 0 THEN 'invalid url' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM g""",
 )
 def v3(spark, sf_dir):
     rows = graded_docs(spark, sf_dir)
     url = F.when(F.col("doc_id") % 7 == 0, "nowhere").otherwise(F.concat(F.lit(WIKI), F.col("doc_id")))
     found = quality.validity(F.col("source"), (F.col("doc_id") % 40 + 1990).cast("int"), tx.is_article_url(url), tx.is_aggregate(F.col("source"), url), F.col("g"), (2000, 2023))
-    return rows.withColumn("v", found).select("doc_id", "v.valid", F.size("v.reasons").alias("n_reasons"))
+    return rows.withColumn("v", found).select("doc_id", "v.valid", F.array_join("v.reasons", "; ").alias("reasons"))
 
 
 @query("v7_confidence_histogram", GRADE_SQL + "SELECT confidence, count(*) AS n FROM g GROUP BY confidence")
@@ -258,7 +273,11 @@ def v7(spark, sf_dir):
 # --- pages ---
 
 
-@query("x1_structure")
+@query(
+    "x1_structure",
+    """WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS link, len(regexp_extract_all(html, '<li[ >]')) AS item, len(regexp_extract_all(html, '<h[123][ >]')) AS heading, len(regexp_extract_all(html, '<t[dh][ >]')) AS cell FROM pages),
+n AS (SELECT page_id, unnest(['link', 'item', 'heading', 'cell']) AS section, unnest([link, item, heading, cell]) AS n FROM c) SELECT page_id, section, n FROM n WHERE n > 0""",
+)
 def x1(spark, sf_dir):
     return pages.structure(table(spark, sf_dir, "pages")).groupBy("page_id", "section").agg(F.count("*").alias("n"))
 
@@ -273,9 +292,16 @@ def x7(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count("*").alias("n_links"), F.coalesce(F.sum(F.size(pages.article_links(F.col("links")))), F.lit(0)).alias("n_articles"))
 
 
-@query("x9_item_values")
+@query(
+    "x9_item_values",
+    """WITH li AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: replace(replace(replace(trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS raw FROM pages),
+named AS (SELECT page_id, list_filter(list_transform(raw, lambda x: trim(x, ' ,;|·•–—-*')), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')) AS v FROM li WHERE len(raw) > 0),
+keyed AS (SELECT page_id, v, list_transform(v, lambda x: trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', ' ', 'g'))) AS k FROM named)
+SELECT page_id, array_to_string(list_filter(v, lambda x, i: list_position(k, k[i]) = i), '|') AS values FROM keyed""",
+)
 def x9(spark, sf_dir):
-    items = pages.structure(table(spark, sf_dir, "pages")).filter("section = 'item'").groupBy("page_id").agg(F.sort_array(F.collect_list("text")).alias("items"))
+    rows = pages.structure(table(spark, sf_dir, "pages")).filter("section = 'item'")
+    items = rows.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("items"))
     return items.select("page_id", F.array_join(pages.cell_values(F.col("items"), F.lit("")), "|").alias("values"))
 
 
@@ -364,23 +390,75 @@ def s11(spark, sf_dir):
     return files.rejected_report(graded_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "g.valid", "g.confidence", "g.reasons"))
 
 
-@query("s12_run_report")
+#: From this day on addresses count as newly found, and works may be released.
+SPLIT = "2024-01-15"
+SLOTS = {f"missing_{f}": f"$.missing_counts.{f}" for f in FIELD_SQL} | {f"coverage_{f}": f"$.field_coverage_percent.{f}" for f in FIELD_SQL}
+RUN_KEYS = ["movies_discovered", "movies_newly_queued", "movies_scraped", "movies_failed", "movies_rejected", "duplicates_merged", "unresolved_titles", "year_discrepancies"]
+
+
+@query(
+    "s12_run_report",
+    "WITH "
+    + STAR_SQL.strip()
+    + GRADED_SQL
+    + STATE_SQL.replace("WITH ", ", ", 1)
+    + f""", good AS (SELECT *, row_number() OVER (PARTITION BY lower(title), year ORDER BY movie_id) AS copy FROM graded WHERE eligible),
+kept AS (SELECT * FROM good WHERE copy = 1)
+SELECT (SELECT count(*) FROM attempts) AS movies_discovered, (SELECT count(DISTINCT url) FROM attempts WHERE ts >= TIMESTAMP '{SPLIT}' AND url NOT IN (SELECT url FROM attempts WHERE ts < TIMESTAMP '{SPLIT}')) AS movies_newly_queued,
+  (SELECT count(*) FROM queue WHERE status = 'success') AS movies_scraped, (SELECT count(*) FROM queue WHERE status = 'failed') AS movies_failed, (SELECT count(*) FROM graded WHERE NOT coalesce(eligible, false)) AS movies_rejected,
+  (SELECT count(*) FROM good) - count(*) AS duplicates_merged, (SELECT count(*) FROM star WHERE title IS NULL) AS unresolved_titles, (SELECT count(*) FROM star WHERE movie_id % 2 = 1) AS year_discrepancies,
+  count(*) AS records, array_to_string(list_sort(list(DISTINCT year)), ',') AS years, (SELECT count(*) FROM queue) AS db_rows, (SELECT count(*) FROM queue WHERE status = 'pending') AS db_pending,
+  (SELECT CAST(sum(attempts) AS BIGINT) FROM queue) AS db_attempts, (SELECT count(*) FROM star) AS source_works, (SELECT count(*) FROM attempts) AS source_attempts, """
+    + ", ".join(f"count(*) FILTER (len({c}) = 0) AS missing_{f}" for f, c in FIELD_SQL.items())
+    + ", "
+    + ", ".join(f"(1000 * (count(*) - count(*) FILTER (len({c}) = 0)) // count(*)) / 10.0 AS coverage_{f}" for f, c in FIELD_SQL.items())
+    + " FROM kept",
+)
 def s12(spark, sf_dir):
-    works = star(spark, sf_dir)
-    return files.run_report(works, quality.missing_counts(works), state(spark, sf_dir))
+    """A run in stages, each counted as it is written: the log, the queue, new addresses, graded works, the works that stay."""
+    run = files.Run(scratch(spark))
+    log = run.write(attempts(spark, sf_dir), "log")
+    old, new = log.filter(F.col("ts") < SPLIT), log.filter(F.col("ts") >= SPLIT)
+    run.write(dedup.enqueue(old, new, "url"), "new")
+    run.write(queue.state(log), "queue", **files.states())
+    box_year = F.col("year") + F.col("movie_id") % 2
+    works = run.write(
+        quality.graded(star(spark, sf_dir)), "works", rejected=F.count_if(~F.coalesce("eligible", F.lit(False))), untitled=F.count_if(F.col("title").isNull()), discrepancies=F.count_if(F.col("year") != box_year)
+    )
+    good = run.write(works.filter("eligible").withColumns({"seq": F.col("movie_id"), "named": F.lower("title")}), "good")
+    run.write(dedup.first_by(good, ["named", "year"]), "dataset", **files.gaps(FIELD_SQL))
+    states = run["queue"]
+    counts = [run["log"]["rows"], run["new"]["rows"], states["success"], states["failed"], run["works"]["rejected"], run["good"]["rows"] - run["dataset"]["rows"], run["works"]["untitled"], run["works"]["discrepancies"]]
+    report = files.run_report(spark, dict(zip(RUN_KEYS, counts, strict=True)), run["dataset"], states, {"attempts": run["log"]["rows"], "works": run["works"]["rows"]})
+    paths = {k: f"$.run.{k}" for k in RUN_KEYS} | {"records": "$.dataset.records", "db_rows": "$.database.rows", "db_pending": "$.database.pending", "db_attempts": "$.database.attempts", "source_works": "$.sources.works", "source_attempts": "$.sources.attempts"} | SLOTS
+    field = lambda name, path: F.get_json_object("report", path).cast("double" if name.startswith("coverage_") else "long").alias(name)
+    years = F.array_join(F.from_json(F.get_json_object("report", "$.dataset.years"), "array<int>"), ",").alias("years")
+    return report.select(*[field(n, p) for n, p in paths.items()], years)
+
+
+#: Pages of this host are read back.
+HOST = ".example.org/"
 
 
-@query("s13_page_store", "SELECT page_id, substr(sha256(url), 1, 2) AS shard FROM pages")
+@query("s13_page_store", f"SELECT page_id, substr(sha256(url), 1, 2) AS shard, html, url FROM pages WHERE contains(url, '{HOST}')")
 def s13(spark, sf_dir):
-    return files.page_store(table(spark, sf_dir, "pages")).select("page_id", "shard")
+    """All pages are stored by the digest of their address, then those of one host are read back by address."""
+    folder = f"{scratch(spark)}/pages"
+    files.write_page_store(table(spark, sf_dir, "pages"), folder)
+    asked = table(spark, sf_dir, "pages").filter(F.col("url").contains(HOST))
+    return files.read_pages(spark, folder, asked).select("page_id", "shard", "html", "url")
 
 
 # --- streams, run to the end of what is there ---
 
 
-def _drain(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there into Parquet files, batch by batch, and reads the last state back."""
-    folder = scratch(spark)
+#: Parts in which the guess log lands, and seconds within which an event may be late.
+PARTS, LATE_SECONDS = 4, 12 * 3600
+
+
+def _drain(spark: SparkSession, df: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files, batch by batch, and reads all that it gave back."""
+    folder = folder or scratch(spark)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
@@ -389,18 +467,33 @@ def _drain(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFram
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query("t1_page_ingest", "SELECT count(*) AS pages FROM pages WHERE html IS NOT NULL")
+#: Pages whose bytes are broken on the way to the landing folder, and files that the stream takes at once.
+BROKEN, FILES_AT_ONCE = 7, 2
+
+
+@query(
+    "t1_page_ingest",
+    f"""SELECT page_id, page_id % {BROKEN} = 0 AS failed, CASE WHEN page_id % {BROKEN} = 0 THEN 0 ELSE len(regexp_extract_all(coalesce(html, ''), '<a [^>]*href="')) END AS n_links,
+  CASE WHEN page_id % {BROKEN} <> 0 THEN nullif(regexp_extract(coalesce(html, ''), '<a [^>]*href="([^"]*)"', 1), '') END AS first_link FROM pages""",
+)
 def t1(spark, sf_dir):
+    """Raw pages land as bytes, some of them broken, and are read a few files at a time; then the sink gets its first batch once more."""
     folder = scratch(spark)
-    schema = table(spark, sf_dir, "pages").schema
-    stream = jobs.file_stream(spark, sf_dir, schema, pathGlobFilter="pages.parquet") if not _is_folder(spark, f"{sf_dir}/pages.parquet") else jobs.file_stream(spark, f"{sf_dir}/pages.parquet", schema)
+    spoiled = F.concat(F.when(F.col("page_id") % BROKEN == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.coalesce(F.encode("html", "UTF-8"), F.unhex(F.lit(""))))
+    table(spark, sf_dir, "pages").select("page_id", spoiled.alias("html")).repartition(4, "page_id").write.parquet(f"{folder}/landed")
+    landed = spark.read.parquet(f"{folder}/landed")
+    stream = jobs.file_stream(spark, f"{folder}/landed", landed.schema, maxFilesPerTrigger=str(FILES_AT_ONCE))
     jobs.ingest_pages(stream, f"{folder}/rows", f"{folder}/check").awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").agg(F.countDistinct("page_id").alias("pages"))
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    first = spark.read.parquet(f"{folder}/rows/batch=0").select("page_id").distinct()
+    jobs.page_sink(f"{folder}/rows")(landed.join(cut(first), "page_id", "left_semi"), 0)
+    links = F.col("section").isin("link", "category")
+    found = spark.read.parquet(f"{folder}/rows").groupBy("page_id").agg(
+        F.max(F.col("section") == "error").alias("failed"),
+        F.count_if(links).alias("n_links"),
+        F.min(F.when(links, F.struct("place", F.get("links", F.lit(0))["href"].alias("href")))).alias("first"),
+    )
+    rows = landed.select("page_id").join(found, "page_id", "left")
+    return rows.select("page_id", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.nullif("first.href", F.lit("")).alias("first_link"))
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,13 +509,15 @@ def t2(spark, sf_dir):
     return found.groupBy("outcome").agg(F.max_by("n", "epoch").alias("n"), F.max_by("last_seq", "epoch").alias("last_seq"))
 
 
-@query("t4_first_guesses", "SELECT count(*) AS n FROM (SELECT DISTINCT user_id || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS s, ((CAST(round(value * 100) AS BIGINT) % 40) + 40) % 40 AS p FROM events WHERE event_type NOT IN ('signup', 'error'))")
+@query("t4_first_guesses", REPLAY_SQL + "SELECT DISTINCT session_id, pool_index FROM events_log WHERE kind = 'guess'")
 def t4(spark, sf_dir):
+    """The guesses land twice; each row of a session and a work comes out once."""
     folder = f"{scratch(spark)}/guesses"
-    rows = guess_events(spark, sf_dir).filter("kind = 'guess'").select("session_id", "pool_index", "ts")
-    rows.write.parquet(folder)
-    stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema)
-    return _drain(spark, jobs.first_guesses(stream, "60 days"), "t4", "append").agg(F.count("*").alias("n"))
+    rows = cut(guess_events(spark, sf_dir).filter("kind = 'guess'").select("session_id", "pool_index", "ts"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(folder)
+    stream = jobs.file_stream(spark, folder, rows.schema, maxFilesPerTrigger="8")
+    return _drain(spark, jobs.first_guesses(stream, "60 days"), "t4", "append").select("session_id", "pool_index")
 
 
 @query(
@@ -433,20 +528,27 @@ LEFT JOIN (SELECT session_id, string_agg(CAST(pool_index AS VARCHAR), ',' ORDER
 WHERE EXISTS (SELECT 1 FROM e WHERE e.session_id = o.session_id AND e.kind <> 'lifeline')""",
 )
 def t3(spark, sf_dir):
-    """The log in files that hold its events in any order, read a few at a time; the last state of each session."""
+    """The log lands in four parts of its time, an event up to twelve hours late; the stream takes each part as it comes and goes on where it stopped."""
     known = pool(spark, sf_dir).select("pool_index", F.lit(True).alias("known"))
     rows = guess_events(spark, sf_dir).filter("kind <> 'lifeline'").join(known, "pool_index", "left").fillna(False, ["known"])
-    folder = f"{scratch(spark)}/log"
-    rows.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known").repartition(4, F.xxhash64("seq")).write.parquet(folder)
-    stream = jobs.file_stream(spark, folder, spark.read.parquet(folder).schema, maxFilesPerTrigger="2")
+    at = F.unix_seconds("ts")
+    span = F.struct(F.min(at).alias("low"), F.max(at).alias("high"))
+    first = rows.agg(span.alias("x")).select("x.*").first()
+    width = ((first.high or 0) - (first.low or 0)) // PARTS + 1
+    landing = F.least(((at + F.pmod(F.xxhash64("seq"), F.lit(LATE_SECONDS)) - F.lit(first.low)) / width).cast("int"), F.lit(PARTS - 1))
+    folder = scratch(spark)
+    events = cut(rows.select("session_id", "seq", "ts", "kind", "pool_index", "mystery_index", "known", landing.alias("landing")))
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, jobs.ROCKSDB)
     try:
-        found = _drain(spark, jobs.session_states(stream), "t3", "update")
+        for part in range(PARTS):
+            events.filter(F.col("landing") == part).drop("landing").write.mode("append").parquet(f"{folder}/log")
+            stream = jobs.file_stream(spark, f"{folder}/log", events.drop("landing").schema)
+            found = _drain(spark, jobs.session_states(stream), "t3", "update", folder)
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-    last = F.max_by(F.struct("status", "used", "bonus_unlocked", "accepted"), "epoch")
+    last = F.max_by(F.struct("status", "used", "bonus_unlocked", "accepted"), F.struct("epoch", "used"))
     return found.groupBy("session_id").agg(last.alias("x")).select("session_id", "x.*")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,13 +134,50 @@ def rejected_report(graded: DataFrame) -> DataFrame:
     return graded.filter("NOT valid").select("id", "confidence", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def run_report(works: DataFrame, coverage: DataFrame, queue: DataFrame) -> DataFrame:
-    """One JSON object with the run's counts, the dataset's years and the coverage of its fields."""
-    data = works.agg(F.struct(F.count("*").alias("works"), F.sort_array(F.collect_set("year")).alias("years")).alias("dataset"))
-    fields = coverage.agg(F.sort_array(F.collect_list(F.struct("field", "missing", "coverage"))).alias("coverage"))
-    states = queue.groupBy("status").agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("status", "n"))).alias("run"))
-    one = data.join(fields, how="cross").join(states, how="cross")  # one row each
-    return one.select(F.to_json(F.struct("run", "dataset", "coverage")).alias("report"))
+class Run:
+    """The counters of a run, taken by named metrics while its stages are written, so that no stage is read again to count it."""
+
+    def __init__(self, folder: str):
+        self.folder, self.seen = folder, {}
+
+    def write(self, df: DataFrame, stage: str, **metrics: Column) -> DataFrame:
+        """df written under its stage's name and read back; rows and the metrics, aggregates over its columns, are counted on the way."""
+        watch = Observation(f"{stage}-{uuid.uuid4().hex}")
+        named = {"rows": F.count(F.lit(1)), **metrics}
+        df.observe(watch, *[c.alias(n) for n, c in named.items()]).write.mode("overwrite").parquet(f"{self.folder}/{stage}")
+        self.seen[stage] = {n: watch.get.get(n) for n in named}
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.folder}/{stage}")
+
+    def __getitem__(self, stage: str) -> dict:
+        return self.seen[stage]
+
+
+def states(**more: Column) -> dict[str, Column]:
+    """Metrics of a work queue: rows by status, and attempts."""
+    return {s: F.count_if(F.col("status") == s) for s in ("pending", "success", "failed")} | {"attempts": F.coalesce(F.sum("attempts"), F.lit(0))} | more
+
+
+def gaps(fields: dict[str, str]) -> dict[str, Column]:
+    """Metrics of a dataset: works without each field (a list column by its field's name), and the years."""
+    return {f"missing_{f}": F.count_if(F.size(c) == 0) for f, c in fields.items()} | {"years": F.sort_array(F.collect_set("year"))}
+
+
+def run_report(spark: SparkSession, run: dict, dataset: dict, database: dict, sources: dict) -> DataFrame:
+    """One row, report: a JSON object of the run's counters, the dataset, the work queue, the coverage of fields and the source tables.
+
+    Coverage is in percent, cut to one place; of no works it is 0.
+    """
+    missing = {n.removeprefix("missing_"): v for n, v in dataset.items() if n.startswith("missing_")}
+    n = dataset["rows"]
+    report = {
+        "run": run,
+        "dataset": {"records": n, "years": list(dataset["years"])},
+        "database": database,
+        "field_coverage_percent": {f: (1000 * (n - m) // n) / 10 if n else 0.0 for f, m in missing.items()},
+        "missing_counts": missing,
+        "sources": sources,
+    }
+    return spark.range(1).select(F.lit(json.dumps(report)).alias("report"))
 
 
 def page_store(pages: DataFrame) -> DataFrame:
@@ -150,8 +190,8 @@ def write_page_store(pages: DataFrame, folder: str) -> None:
 
 
 def read_pages(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
-    """The stored pages of some addresses; the shard prunes what is read."""
-    asked = urls.select("url", F.substring(F.sha2("url", 256), 1, 2).alias("shard")).distinct()
+    """The stored pages of some addresses. Where urls is a filtered table that may be broadcast, Spark prunes the shards by it before it reads."""
+    asked = urls.select("url", F.substring(F.sha2("url", 256), 1, 2).alias("shard"))
     return spark.read.parquet(folder).join(asked, ["url", "shard"], "left_semi")
 
 

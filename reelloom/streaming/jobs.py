@@ -18,16 +18,21 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, **options) -
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def ingest_pages(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """The rows of new pages, appended once under the batch's number; a run again after a crash overwrites its own batch.
-
-    A page that cannot be read becomes a row of section "error".
-    """
+def page_sink(target: str):
+    """Writes the rows of a batch of pages under the batch's number; the same batch again overwrites its own rows."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         structure(batch).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
+
+
+def ingest_pages(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """The rows of new pages (page_id, html as text or as bytes), appended once; a run again after a crash repeats its last batch in place.
+
+    A page that cannot be read becomes a row of section "error".
+    """
+    return pages.writeStream.foreachBatch(page_sink(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def status_counts(attempts: DataFrame) -> DataFrame:
@@ -40,53 +45,110 @@ def first_guesses(guesses: DataFrame, late: str = "1 day") -> DataFrame:
     return guesses.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "pool_index"])
 
 
-SESSION_ROW = "session_id string, status string, used int, bonus_unlocked boolean, accepted string"
-EVENT = "seq long, kind string, pool_index int, mystery_index int, known boolean"
+SESSION_ROW = "session_id string, status string, used int, bonus_unlocked boolean, accepted string, closed boolean"
+
+#: What is known of a session: status, used, bonus, the accepted works.
+Folded = tuple[str, int, bool, tuple[int, ...]]
+START: Folded = ("active", 0, False, ())
+
 
+def advance(now: Folded, kind: str, pool_index: int, mystery_index: int, known: bool) -> Folded:
+    """The session after one more event."""
+    status, used, bonus, taken = now
+    if kind == "unlock":
+        bonus = bonus or (status != "won" and used >= BASE)
+    elif kind == "guess" and status == "active" and used < BASE + BONUS * bonus and known and pool_index not in taken:
+        taken, used = (*taken, pool_index), used + 1
+        if pool_index == mystery_index:
+            status = "won"
+        elif bonus and used >= BASE + BONUS:
+            status = "lost"
+    return status, used, bonus, taken
 
-def fold(events: list[tuple]) -> tuple[str, int, bool, str]:
-    """status, used, bonus_unlocked and accepted of a session's events (EVENT) in order of seq."""
-    status, used, bonus, taken = "active", 0, False, []
-    for _, kind, pool_index, mystery_index, known in sorted(events, key=lambda e: e[0]):
-        if kind == "unlock":
-            bonus = bonus or (status != "won" and used >= BASE)
-        elif kind == "guess" and status == "active" and used < BASE + BONUS * bonus and known and pool_index not in taken:
-            taken.append(pool_index)
-            used += 1
-            if pool_index == mystery_index:
-                status = "won"
-            elif bonus and used >= BASE + BONUS:
-                status = "lost"
-    return status, used, bonus, ",".join(map(str, taken))
+
+def fold(events: list[tuple], now: Folded = START) -> Folded:
+    """The session after events (order..., kind, pool_index, mystery_index, known) in their order."""
+    for *_, kind, pool_index, mystery_index, known in sorted(events):
+        now = advance(now, kind, pool_index, mystery_index, known)
+    return now
 
 
 class SessionFold(StatefulProcessor):
-    """A session as a fold over its events in order of seq, whatever the order in which they arrive.
+    """A session as a fold over its events in order of time and seq, whatever the order in which they arrive.
 
-    The events are the state, so one that comes late takes its place among the others; a session
-    holds its own events only. An event that comes again with its seq counts once.
+    Events that the watermark has passed are folded into a few values, ten accepted works at most;
+    later ones wait in a buffer, since an earlier one may still come, and are folded on top for the
+    row that a batch gives. An event that comes again while it waits counts once; what comes after
+    the watermark is dropped. When no event has come for `gap`, a timer gives the last row, closed,
+    and all state of the session ends.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getMapState("events", "seq long", "kind string, pool_index int, mystery_index int, known boolean")
+    def __init__(self, gap: int):
+        self.gap = gap  # microseconds
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "status string, used int, bonus boolean, taken string, upto long, last long")
+        self.waiting = handle.getMapState("waiting", "at long, seq long", "kind string, pool_index int, mystery_index int, known boolean")
+
+    def read(self) -> tuple[Folded, int, int]:
+        """What is folded, the time up to which it is, and that of the last event."""
+        held = self.folded.get()
+        if held is None:
+            return START, 0, 0
+        status, used, bonus, taken, upto, last = held
+        return (status, used, bonus, tuple(map(int, taken.split(","))) if taken else ()), upto, last
+
+    def settle(self, now: Folded, upto: int, last: int, watermark: int) -> tuple[Folded, list[tuple]]:
+        """Folds the waiting events that the watermark has passed; the others, for they still wait."""
+        events = [(*key, *event) for key, event in self.waiting.iterator()]
+        ripe = [e for e in events if e[0] < watermark]
+        for e in ripe:
+            self.waiting.removeKey(e[:2])
+        now = fold(ripe, now)
+        status, used, bonus, taken = now
+        self.folded.update((status, used, bonus, ",".join(map(str, taken)), max(upto, watermark), last))
+        return now, [e for e in events if e[0] >= watermark]
+
+    def row(self, key: tuple, now: Folded, closed: bool) -> pd.DataFrame:
+        status, used, bonus, taken = now
+        found = {"session_id": [key[0]], "status": [status], "used": [used], "bonus_unlocked": [bonus], "accepted": [",".join(map(str, taken))], "closed": [closed]}
+        return pd.DataFrame(found).astype({"used": "int32"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, upto, before = self.read()
+        last = before
         for pdf in rows:
             for e in pdf.itertuples():
-                self.events.updateValue((int(e.seq),), (e.kind, int(e.pool_index), int(e.mystery_index), bool(e.known)))
-        status, used, bonus, accepted = fold([(seq, *rest) for (seq,), rest in self.events.iterator()])
-        yield pd.DataFrame({"session_id": [key[0]], "status": [status], "used": [used], "bonus_unlocked": [bonus], "accepted": [accepted]}).astype({"used": "int32"})
+                if e.at >= upto:
+                    self.waiting.updateValue((int(e.at), int(e.seq)), (e.kind, int(e.pool_index), int(e.mystery_index), bool(e.known)))
+                    last = max(last, int(e.at))
+        now, waiting = self.settle(now, upto, last, timerValues.getCurrentWatermarkInMs() * 1000)
+        if last != before or before == 0:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.gap) // 1000)
+        yield self.row(key, fold(waiting, now), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, upto, last = self.read()
+        now, waiting = self.settle(now, upto, last, timerValues.getCurrentWatermarkInMs() * 1000)
+        self.folded.clear()
+        self.waiting.clear()
+        yield self.row(key, fold(waiting, now), True)
 
     def close(self) -> None:
         pass
 
 
-def session_states(events: DataFrame) -> DataFrame:
-    """The state of each session after each batch. events: session_id, seq, kind, pool_index, mystery_index, known.
+def session_states(events: DataFrame, late: str = "1 day", gap_days: float = 8) -> DataFrame:
+    """The state of each session after each batch, and when it closes. events: session_id, seq, ts, kind, pool_index, mystery_index, known.
 
-    Needs spark.sql.streaming.stateStore.providerClass set to the RocksDB provider when the stream starts.
+    seq must not fall as ts rises. Needs spark.sql.streaming.stateStore.providerClass set to the
+    RocksDB provider when the stream starts.
     """
-    return events.groupBy("session_id").transformWithStateInPandas(SessionFold(), SESSION_ROW, "Update", "None")
+    timed = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", late)
+    return timed.groupBy("session_id").transformWithStateInPandas(SessionFold(int(gap_days * 86_400_000_000)), SESSION_ROW, "Update", "EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

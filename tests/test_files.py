@@ -1,6 +1,8 @@
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelloom.sources import files
 
@@ -30,3 +32,36 @@ def test_csv_out_and_page_store(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<p>"), (2, "http://b", "<p>")], "page_id long, url string, html string")
     files.write_page_store(pages, str(tmp_path / "store"))
     assert [r.page_id for r in files.read_pages(spark, str(tmp_path / "store"), pages.filter("page_id = 2")).collect()] == [2]
+
+
+def test_counters_of_a_run_are_taken_as_stages_are_written(spark, tmp_path):
+    queue = spark.createDataFrame([("a", "failed", 2), ("b", "success", 1), ("c", "pending", 0)], "url string, status string, attempts long")
+    run = files.Run(str(tmp_path / "run"))
+    kept = run.write(queue, "queue", **files.states())
+    assert run["queue"] == {"rows": 3, "pending": 1, "success": 1, "failed": 1, "attempts": 3} and kept.count() == 3
+    works = spark.createDataFrame([(1, 2001, ["x"]), (2, 2003, []), (3, 2001, ["y"])], "movie_id long, year int, genres array<string>")
+    run.write(works, "dataset", **files.gaps({"genre": "genres"}))
+    report = json.loads(files.run_report(spark, {"movies_scraped": 1}, run["dataset"], run["queue"], {"works": 3}).first().report)
+    assert report["dataset"] == {"records": 3, "years": [2001, 2003]} and report["missing_counts"] == {"genre": 1} and report["field_coverage_percent"] == {"genre": 66.6}
+    assert report["database"]["failed"] == 1 and report["sources"] == {"works": 3}
+
+
+def test_counters_of_empty_stages(spark, tmp_path):
+    run = files.Run(str(tmp_path / "run"))
+    run.write(spark.createDataFrame([], "url string, status string, attempts long"), "queue", **files.states())
+    run.write(spark.range(3).filter("id > 5").select(F.col("id").cast("int").alias("year"), F.array(F.lit("a")).alias("genres")), "dataset", **files.gaps({"genre": "genres"}))
+    assert run["queue"]["rows"] == 0 and run["queue"]["attempts"] == 0
+    report = json.loads(files.run_report(spark, {}, run["dataset"], run["queue"], {}).first().report)
+    assert report["dataset"] == {"records": 0, "years": []} and report["field_coverage_percent"] == {"genre": 0.0}
+
+
+def test_shards_are_pruned_by_the_addresses(spark, tmp_path):
+    pages = spark.range(600).select("id", F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    folder = str(tmp_path / "pages")
+    files.write_page_store(pages, folder)
+    asked = pages.filter(F.col("url").endswith("/77"))
+    found = files.read_pages(spark, folder, asked)
+    assert [(r.id, r.html) for r in found.collect()] == [(77, "<p>77")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert len(set(Path(folder).glob("shard=*"))) > 100

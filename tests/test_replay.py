@@ -64,7 +64,7 @@ def test_stream_equals_batch(spark, logs, tmp_path):
     events, known, hidden, _, ends = logs
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     flagged = events.join(hidden, "session_id").join(known.withColumn("known", F.lit(True)), "pool_index", "left").fillna(False, ["known"])
-    rows = flagged.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known")
+    rows = flagged.select("session_id", "seq", "kind", "pool_index", "mystery_index", "known").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
     middle = 1200
     rows.filter(F.col("seq") <= middle).coalesce(1).write.parquet(str(tmp_path / "log"))
     out = str(tmp_path / "out")
@@ -81,6 +81,45 @@ def test_stream_equals_batch(spark, logs, tmp_path):
     assert {r.session_id: tuple(r.x) for r in last.collect()} == ends
 
 
+def test_sessions_close_and_state_stays_small(spark, tmp_path):
+    """50 batches of sessions that each last three: the state holds those of the last few batches, late events fold in place, too late ones do not."""
+    import random
+
+    from reelloom.streaming import jobs
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    rng = random.Random(3)
+    batches, want = 50, {}
+    held = [[] for _ in range(batches)]
+    for s in range(batches):
+        events = [(s * 1000 + i, s * 3600 + i * 600, "unlock" if rng.random() < 0.1 else "guess", rng.randint(0, 12), 5, rng.random() < 0.9) for i in range(18)]
+        want[f"s{s}"] = jobs.fold([(e[0], *e[2:]) for e in events])
+        for seq, at, *rest in events:
+            held[min(batches - 1, at // 3600 + rng.choice([0, 0, 1]))].append((f"s{s}", seq, at, *rest))
+    held[40].append(("s2", 2999, 2 * 3600 + 3000, "guess", 5, 5, True))  # its session has long been closed
+    schema = "session_id string, seq long, at_s long, kind string, pool_index int, mystery_index int, known boolean"
+    log, out, sizes = str(tmp_path / "log"), str(tmp_path / "out"), []
+    for rows in held:
+        rng.shuffle(rows)
+        part = spark.createDataFrame(rows, schema)
+        part.withColumn("ts", F.timestamp_seconds("at_s")).drop("at_s").coalesce(1).write.mode("append").parquet(log)
+    stream = jobs.file_stream(spark, log, spark.read.parquet(log).schema, maxFilesPerTrigger="1")
+
+    def write(batch, n):
+        batch.withColumn("n", F.lit(n)).coalesce(1).write.mode("overwrite").parquet(f"{out}/b={n}")
+
+    query = jobs.session_states(stream, "2 hours", 1 / 12).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(sizes) >= batches and max(sizes[-20:]) <= 1.5 * max(sizes[:20]) < 300  # of 900 events
+    rows = spark.read.parquet(out).collect()
+    last = {}
+    for r in sorted(rows, key=lambda r: (r.n, r.closed)):
+        last[r.session_id] = ((r.status, r.used, r.bonus_unlocked, tuple(map(int, r.accepted.split(","))) if r.accepted else ()), r.closed)
+    assert {s: v for s, (v, _) in last.items()} == want
+    assert sum(closed for _, closed in last.values()) >= batches - 8
+
+
 def work(i, year, genres, actors, directors):
     return (i, i, f"T{i}", year, genres, actors, directors, [], [], [])
 
