@@ -20,15 +20,17 @@ def _session() -> WindowSpec:
     return Window.partitionBy("session_id")
 
 
-def replay(events: DataFrame, known: DataFrame, mystery: DataFrame) -> DataFrame:
+def replay(events: DataFrame, known: DataFrame, mystery: DataFrame | None = None) -> DataFrame:
     """Every event with attempt (if accepted), code (if refused), correct, t7, bonus_seq, done_seq.
 
+    mystery has each session's mystery_index; without it that is a column of events.
+
     Phase 1 takes the first seven different known works; phase 2, after the first unlock that
     follows the seventh, three more that phase 1 did not take, counted within the phase.
     """
+    hidden = events if mystery is None else events.join(mystery, "session_id")
     e = (
-        events.join(known.select("pool_index", F.lit(True).alias("exists")), "pool_index", "left")
-        .join(mystery, "session_id")
+        hidden.join(known.select("pool_index", F.lit(True).alias("exists")), "pool_index", "left")
         .withColumn("correct", (F.col("kind") == "guess") & F.col("exists") & (F.col("pool_index") == F.col("mystery_index")))
         .withColumn("usable", (F.col("kind") == "guess") & F.coalesce("exists", F.lit(False)))
     )
@@ -60,7 +62,7 @@ def replay(events: DataFrame, known: DataFrame, mystery: DataFrame) -> DataFrame
     unlocked = F.coalesce(F.col("seq") > F.col("bonus_seq"), F.lit(False))
     refused_unlock = F.when(unlocked, "bonus_already").when(F.coalesce(F.col("seq") > won, F.lit(False)), "game_complete").when(F.col("used_before") < BASE, "bonus_too_early")
     code = F.when(F.col("kind") == "guess", F.when(F.col("attempt").isNull(), refused_guess)).when(F.col("kind") == "unlock", refused_unlock)
-    keep = [c for c in events.columns if c != "pool_index"]
+    keep = [c for c in events.columns if c not in ("pool_index", "mystery_index")]
     return three.select(*keep, "pool_index", "mystery_index", "attempt", code.alias("code"), "correct", "t7", "bonus_seq", "done_seq", won.alias("won_seq"), "used_before")
 
 

@@ -21,17 +21,18 @@ ATTRIBUTES = ["year", "genre", "cast", "director", "production_house", "music_di
 ARRAYS = {"genre": "genres", "cast": "actors", "director": "directors", "production_house": "houses", "music_director": "music", "writer": "writers"}
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """movie_id, title, year, genres, actors, directors, houses, music, writers."""
+def star(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """movie_id, title, year, genres, actors, directors, houses, music, writers, of all works or only those named (movie_id)."""
     t = lambda name: table(spark, sf_dir, name)
+    own = lambda name, key: t(name) if only is None else t(name).join(only, F.col(key) == F.col("movie_id"), "left_semi")
     lines = (
-        t("lineitem")
+        own("lineitem", "l_orderkey")
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("l_orderkey")
         .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name", "p_type", "p_brand", "s_name", "n_name"))).alias("x"))
     )
-    named = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    named = own("orders", "o_orderkey").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     field = lambda f: F.coalesce(F.col(f"x.{f}"), F.array().cast("array<string>"))
     return named.select(
         F.col("o_orderkey").alias("movie_id"),
@@ -70,9 +71,10 @@ def key_sql(column: str) -> str:
     return f"trim(regexp_replace(replace(lower(trim({column})), '''', ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All works, with pool_index from 0 in order of id; kept, as many queries use it more than once."""
-    return dedup.number(star(spark, sf_dir), ["movie_id"], "pool_index").withColumn("pool_index", (F.col("pool_index") - 1).cast("int"))
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pool_index (from 0 in order of id) and movie_id of all works; nothing but ids is sorted."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("movie_id"))
+    return dedup.number(ids, ["movie_id"], "pool_index").withColumn("pool_index", (F.col("pool_index") - 1).cast("int"))
 
 
 def n_works(spark: SparkSession, sf_dir: str) -> int:
@@ -126,10 +128,6 @@ def daily_works(spark: SparkSession, days: DataFrame, n: int, salt: str = SALT,
     return placed.join(shuffled, "place").select("game_date", F.col("movie_id").cast("int").alias("mystery_index"))
 
 
-def mysteries(events: DataFrame) -> DataFrame:
-    return events.select("session_id", "mystery_index").distinct()
-
-
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, year, name, seq, ts, outcome (success, failed, pending), error."""
     outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "success").otherwise("pending")

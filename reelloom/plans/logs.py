@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import comparison as cmp
 from ..operators import dedup, queue, replay, search
-from ..session import shared_dir, table
+from ..session import cut, shared_dir, table
 from ..sources import files
-from .adapters import ATTEMPT_SQL, EPOCH, GUESS_SQL, STAR_SQL, attempts, guess_events, key_sql, mysteries, n_works, pool
+from .adapters import ATTEMPT_SQL, EPOCH, GUESS_SQL, STAR_SQL, attempts, guess_events, index, key_sql, n_works, star
 
 Q, S = {}, {}
 
@@ -103,29 +103,42 @@ sizes AS (SELECT session_id, attribute, n_cells FROM mystery JOIN (
 )
 
 
-def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The replayed log and the keyed pool of works."""
-    events, works = guess_events(spark, sf_dir), pool(spark, sf_dir)
-    return replay.replay(events.drop("mystery_index"), works, mysteries(events)), cmp.with_keys(works)
+def log(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The log, replayed once and kept for all that a query asks of it. Of the works only the ids are needed."""
+    return cut(replay.replay(guess_events(spark, sf_dir), index(spark, sf_dir) if ids is None else ids))
+
+
+def works_of(spark: SparkSession, sf_dir: str, replayed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The keyed works that a log names: the accepted guesses and the mysteries. No others are built, however large the catalogue."""
+    named = replayed.filter("attempt IS NOT NULL").select("pool_index").unionByName(replayed.select(F.col("mystery_index").alias("pool_index"))).distinct()
+    own = cut(ids.join(named, "pool_index"))
+    return cut(cmp.with_keys(star(spark, sf_dir, own.select("movie_id")).join(own, "movie_id")))
+
+
+def played(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The replayed log and its works."""
+    ids = index(spark, sf_dir)
+    replayed = log(spark, sf_dir, ids)
+    return replayed, works_of(spark, sf_dir, replayed, ids)
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.compared_guesses(*log(spark, sf_dir))
+    return replay.compared_guesses(*played(spark, sf_dir))
 
 
 @query("g9_replay", REPLAY_SQL + "SELECT session_id, seq, kind, CAST(attempt AS INTEGER) AS attempt, code FROM coded WHERE kind = 'guess'")
 def g9(spark, sf_dir):
-    return log(spark, sf_dir)[0].filter("kind = 'guess'").select("session_id", "seq", "kind", "attempt", "code")
+    return log(spark, sf_dir).filter("kind = 'guess'").select("session_id", "seq", "kind", "attempt", "code")
 
 
 @query("g10_bonus", REPLAY_SQL + "SELECT session_id, seq, code FROM coded WHERE kind = 'unlock'")
 def g10(spark, sf_dir):
-    return log(spark, sf_dir)[0].filter("kind = 'unlock'").select("session_id", "seq", "code")
+    return log(spark, sf_dir).filter("kind = 'unlock'").select("session_id", "seq", "code")
 
 
 @query("g11_lifelines_unlocked", REPLAY_SQL + "SELECT session_id, seq, CAST((used_before >= 4)::INT + (used_before >= 6)::INT AS INTEGER) AS unlocked FROM coded WHERE kind = 'lifeline'")
 def g11(spark, sf_dir):
-    rows = log(spark, sf_dir)[0].filter("kind = 'lifeline'")
+    rows = log(spark, sf_dir).filter("kind = 'lifeline'")
     return rows.select("session_id", "seq", replay.lifelines_unlocked(F.col("used_before")).alias("unlocked"))
 
 
@@ -145,7 +158,7 @@ FROM mystery m LEFT JOIN sizes s USING (session_id) LEFT JOIN (SELECT session_id
 GROUP BY m.session_id""",
 )
 def g13(spark, sf_dir):
-    replayed, works = log(spark, sf_dir)
+    replayed, works = played(spark, sf_dir)
     cells = replay.revealed_cells(replay.cells_by_guess(replay.compared_guesses(replayed, works)))
     hidden = replayed.select("session_id", "mystery_index").distinct()
     return replay.purchasable(hidden, cells, replay.sizes_by_work(works))
@@ -174,7 +187,7 @@ SELECT session_id, seq, attribute, CASE WHEN code IS NULL THEN CAST({BOUGHT_SQL.
 
 @query("g14_clues", REPLAY_SQL + CLUES_SQL)
 def g14(spark, sf_dir):
-    replayed, works = log(spark, sf_dir)
+    replayed, works = played(spark, sf_dir)
     return replay.clues(replayed, replay.cells_by_guess(replay.compared_guesses(replayed, works)), replay.sizes_by_work(works))
 
 
@@ -187,7 +200,7 @@ def g14(spark, sf_dir):
   CASE WHEN ended THEN secs END AS duration_seconds, refused FROM outcome""",
 )
 def g15(spark, sf_dir):
-    return replay.sessions(log(spark, sf_dir)[0]).drop("game_date")
+    return replay.sessions(log(spark, sf_dir)).drop("game_date")
 
 
 @query("g16_history", REPLAY_SQL + "SELECT session_id, CAST(attempt AS INTEGER) AS attempt, movie_id, title, movie_id = m_id AS is_correct, direction FROM compared")
@@ -201,7 +214,7 @@ def g16(spark, sf_dir):
     + "SELECT count(*) AS started, count(*) FILTER (status <> 'active') AS completed, count(*) FILTER (status = 'won') AS won, count(*) FILTER (status = 'lost') AS lost, CAST(round_even(avg(used) FILTER (status = 'won'), 2) AS DOUBLE) AS average_attempts FROM outcome",
 )
 def g17(spark, sf_dir):
-    return replay.stats(replay.sessions(log(spark, sf_dir)[0]))
+    return replay.stats(replay.sessions(log(spark, sf_dir)))
 
 
 FIRST, LAST = "2023-12-01", "2024-03-31"
@@ -214,7 +227,7 @@ FIRST, LAST = "2023-12-01", "2024-03-31"
 FROM (SELECT CAST(unnest(range(DATE '{FIRST}', DATE '{LAST}' + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN outcome o ON o.game_date = d.day GROUP BY d.day""",
 )
 def g18(spark, sf_dir):
-    found = replay.archive(replay.sessions(log(spark, sf_dir)[0]), FIRST, LAST)
+    found = replay.archive(replay.sessions(log(spark, sf_dir)), FIRST, LAST)
     return found.withColumn("game_date", F.col("game_date").cast("string"))
 
 
@@ -271,10 +284,11 @@ WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = o.session_id AND
 )
 def q4(spark, sf_dir):
     """Of the titles offered to each session, a list of fixed length from its mystery on, those not yet guessed."""
-    replayed, works = log(spark, sf_dir)
+    ids = index(spark, sf_dir)
+    replayed = log(spark, sf_dir, ids)
     steps = F.explode(F.sequence(F.lit(0), F.lit(OFFERED - 1)))
     rows = replayed.select("session_id", "mystery_index").distinct().withColumn("step", steps)
-    offered = rows.withColumn("pool_index", F.pmod(F.col("mystery_index") + F.col("step"), F.lit(n_works(spark, sf_dir))).cast("int")).join(works.select("pool_index", "movie_id"), "pool_index")
+    offered = rows.withColumn("pool_index", F.pmod(F.col("mystery_index") + F.col("step"), F.lit(n_works(spark, sf_dir))).cast("int")).join(ids, "pool_index")
     return search.not_guessed(offered, replayed.filter("attempt IS NOT NULL"), ["session_id", "pool_index"]).select("session_id", "movie_id")
 
 

@@ -13,7 +13,7 @@ from ..operators import comparison, dedup, pages, quality, queue, replay
 from ..sources import files
 from ..streaming import jobs
 from ..session import cut, shared_dir, table
-from .adapters import STAR_SQL, attempts, guess_events, key_sql, mysteries, pool, star
+from .adapters import STAR_SQL, attempts, guess_events, index, key_sql, star
 from .catalogue import GRADED_SQL
 from .logs import REPLAY_SQL, STATE_SQL, state
 
@@ -529,7 +529,7 @@ WHERE EXISTS (SELECT 1 FROM e WHERE e.session_id = o.session_id AND e.kind <> 'l
 )
 def t3(spark, sf_dir):
     """The log lands in four parts of its time, an event up to twelve hours late; the stream takes each part as it comes and goes on where it stopped."""
-    known = pool(spark, sf_dir).select("pool_index", F.lit(True).alias("known"))
+    known = index(spark, sf_dir).select("pool_index", F.lit(True).alias("known"))
     rows = guess_events(spark, sf_dir).filter("kind <> 'lifeline'").join(known, "pool_index", "left").fillna(False, ["known"])
     at = F.unix_seconds("ts")
     span = F.struct(F.min(at).alias("low"), F.max(at).alias("high"))
@@ -554,5 +554,4 @@ def t3(spark, sf_dir):
 
 def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What t3_session_fold must equal."""
-    events, works = guess_events(spark, sf_dir), pool(spark, sf_dir)
-    return replay.sessions(replay.replay(events.drop("mystery_index"), works, mysteries(events))).select("session_id", "status", "used", "bonus_unlocked")
+    return replay.sessions(replay.replay(guess_events(spark, sf_dir), index(spark, sf_dir))).select("session_id", "status", "used", "bonus_unlocked")
