@@ -29,6 +29,8 @@ from .common import broadcast_if_small, cut, table
 
 #: Bounds of the training sample: documents of each language, windows of each document, bytes of each window.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 256, 4, 64
+#: Windows of fewer bytes teach only languages that have no others.
+SHORT = 8
 #: STEPS are for up to LANGS languages; more take more, in proportion.
 HIDDEN, STEPS, LANGS, BATCH, RATE, SEED = 8, 256, 4, 256, 0.02, 7
 SEGMENT, CONTEXT, LANES = 448, 64, 1024
@@ -201,17 +203,22 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_windows: int = SAMPLE_W
 
 
 def fit(docs: DataFrame, **options) -> ByteLabeller | None:
-    """A labeller from docs (text, lang), or None if nothing is labelled."""
+    """A labeller from docs (text, lang), or None if nothing with a letter is labelled."""
     found = sample(docs, **options)
     langs = sorted({lang for lang, _ in found})
     if not langs:
         return None
-    pieces = [(w[:WINDOW], langs.index(lang)) for lang, windows in found for w in windows if len(w) >= 8]
+    pieces = [(w[:WINDOW], lang) for lang, windows in found for w in windows if len(w) >= SHORT]
+    taught = {lang for _, lang in pieces}
+    # A language that has no longer text is learned from its short ones, said over and over.
+    pieces += [(((w + b" ") * WINDOW)[:WINDOW], lang) for lang, windows in found if lang not in taught for w in windows if LETTER[list(w)].any()]
+    if not pieces:
+        return None
     data = np.full((len(pieces), WINDOW), 32, "u1")
     for i, (w, _) in enumerate(pieces):
         data[i, : len(w)] = np.frombuffer(w, "u1")
     model = ByteLabeller(langs)
-    model.train(data.astype(np.intp), np.array([k for _, k in pieces]), steps=STEPS * max(1, -(-len(langs) // LANGS)))
+    model.train(data.astype(np.intp), np.array([langs.index(lang) for _, lang in pieces]), steps=STEPS * max(1, -(-len(langs) // LANGS)))
     return model
 
 

@@ -14,8 +14,9 @@ bounds are widened by their rounding error, so nothing that belongs to the resul
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
 missing trailing components count as zero; rows with one vec_id are candidates each, and a query
-skips all rows of its own id; ties go to the smaller vec_id. Scores must fit 64 bits. A null
-vec_id takes no part. Other columns are not read.
+skips all rows of its own id; ties go to the smaller vec_id. Vectors so long that a score could pass
+64 bits are an error. A null vec_id takes no part; rows that repeat in full are candidates each.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -136,12 +137,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     spark = vectors.sparkSession
     base = cut(usable(vectors, id_col, vector_col))
     asked = cut(usable(queries, id_col, vector_col).select("id", "v", "long"))
-    size = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    size = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max("long").alias("long")).first()
     n_asked = asked.count()
     out = "query_id long, vec_id long, score long"
     if not size.n or not n_asked:
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    dims = max(1, size.d, asked.agg(F.max(F.size("v"))).first()[0])
+    reached = asked.agg(F.max(F.size("v")).alias("d"), F.max("long").alias("long")).first()
+    if size.long * reached.long >= 2.0**62:
+        raise ValueError("scores of these vectors do not fit 64 bits")
+    dims = max(1, size.d, reached.d)
     turn = rotation(base, dims)
     top = base.orderBy(F.desc("norm"), "id").limit(HEAD).toPandas()  # HEAD rows
     head = (top["id"].to_numpy("i8"), matrix(top["v"], dims))

@@ -102,3 +102,15 @@ def test_ties_repeats_and_clashing_columns(spark):
     assert [(r.lang_pred, r.score) for r in out.collect()] == [("a", 0.5)] * 3
     named = spark.createDataFrame([(i, f"some text {i}", lang) for i, lang in enumerate(["", "", "q", None] + [f"l{k:02d}" for k in range(70)])], "doc_id long, text string, lang string")
     assert {lang for lang, _ in li.sample(named)} == {"", "q"} | {f"l{k:02d}" for k in range(70)}
+
+
+def test_languages_of_nothing_but_short_texts(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("ab ab", "x"), ("ba", "x"), ("qz", "y"), ("q", "y"), ("zq zq", "y"), (" ", "y")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(docs)
+    assert model.langs == ["x", "y"]
+    got = {r.doc_id: r.lang_pred for r in li.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, t, lang in rows if t.strip()) >= 20 and {got[i] for i, t, _ in rows if not t.strip()} == {"und"}
+    assert li.fit(docs.filter("trim(text) = ''")) is None
+    longer = docs.unionByName(spark.createDataFrame([(100 + i, "the quick brown fox jumps over it", "z") for i in range(5)], docs.schema))
+    assert li.fit(longer).langs == ["x", "y", "z"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelloom.llm import topk
@@ -40,3 +41,13 @@ def test_small_tables(spark):
     assert topk.search(one, one).count() == 0
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 2048)]
+
+
+def test_repeated_rows_and_scores_beyond_64_bits(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0])], schema)
+    assert [(r.rank, r.vec_id, r.score) for r in topk.search(rows, rows.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 2 << 20), (2, 1, 2 << 20), (3, 2, 1 << 20)]
+    far = spark.createDataFrame([(0, [1e7]), (1, [-1e7])], schema)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search(far, far)
+    assert topk.search(far.select("vec_id", F.transform("embedding", lambda x: x / 1000).alias("embedding")), far.limit(1)).count() == 1
