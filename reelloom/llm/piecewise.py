@@ -203,7 +203,7 @@ def successors(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     dealt = rows.mapInPandas(deal, "there boolean, doc_id long, key long, fingerprint string, packed binary, block int, trails boolean")
     order = ["block", "trails", "there", "doc_id", "key"]
-    found = dealt.repartition(max(1, len(lower)), "block").sortWithinPartitions(*order).mapInPandas(walk, EDITED)
+    found = dealt.repartitionById(max(1, len(lower)), "block").sortWithinPartitions(*order).mapInPandas(walk, EDITED)
     return found.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
 
 
