@@ -102,7 +102,7 @@ def test_sessions_close_and_state_stays_small(spark, tmp_path):
     for rows in held:
         rng.shuffle(rows)
         part = spark.createDataFrame(rows, schema)
-        part.withColumn("ts", F.timestamp_seconds("at_s")).drop("at_s").coalesce(1).write.mode("append").parquet(log)
+        part.withColumn("ts", F.timestamp_seconds(F.col("at_s") + 1_700_000_000)).drop("at_s").coalesce(1).write.mode("append").parquet(log)
     stream = jobs.file_stream(spark, log, spark.read.parquet(log).schema, maxFilesPerTrigger="1")
 
     def write(batch, n):
