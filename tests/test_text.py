@@ -116,3 +116,19 @@ def test_sessions_fold_alike_whatever_the_order_of_arrival():
     for seed in range(20):
         random.Random(seed).shuffle(events)
         assert jobs.fold(events) == want
+
+
+def test_plain_texts_skip_what_would_not_change_them(apply, monkeypatch):
+    """The short way for plain texts and ASCII gives what the long way gives, on random texts of awkward pieces."""
+    import random
+
+    rng = random.Random(3)
+    pieces = ["a", "B", "7", "#", ".", "'", "/", "_", " ", "  ", "\n", "\t", "-", "–", ",", ";", "(", ")", "[", "]", "[1]", "&", "&amp;", "&#233;", "&#0;", "&#xZ;", "&nosuch;", "&apos;", "é", "Ł", "ﬁ", " ", "’", "and", " and ", "N/A", "tba", " (film)", " - as x", "|", "\x1c", "İ", "K"]
+    made = ["".join(rng.choice(pieces[: rng.choice([9, 10, len(pieces)])]) for _ in range(rng.randint(0, 7))) for _ in range(800)] + [None]
+    joined = lambda f: lambda c: F.array_join(f(c), "\x00")
+    functions = [tx.clean_text, tx.clean_name, tx.key, tx.label_key, tx.name_key, tx.search_key, tx.is_placeholder, joined(tx.split_values), joined(lambda c: tx.dedupe_names(F.split(c, " ")))]
+    got = [apply(f, made) for f in functions]
+    assert sum(g == m for g, m in zip(got[0], made, strict=True)) > 100
+    monkeypatch.setattr(tx, "unless_plain", lambda c, f: f(c))
+    monkeypatch.setattr(tx, "MARKED", r"^")  # every text takes the long way
+    assert got == [apply(f, made) for f in functions]
