@@ -132,3 +132,31 @@ def test_plain_texts_skip_what_would_not_change_them(apply, monkeypatch):
     monkeypatch.setattr(tx, "unless_plain", lambda c, f: f(c))
     monkeypatch.setattr(tx, "MARKED", r"^")  # every text takes the long way
     assert got == [apply(f, made) for f in functions]
+
+
+def test_only_texts_that_composition_changes_leave_the_jvm():
+    import random
+    import re
+    import unicodedata
+
+    from reelloom.functions.normal import composed, uncomposed
+
+    inner = re.sub(r"^\[[^&]*&&(\[.*?\])\]", r"\1", uncomposed())  # Python has no intersection of classes
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", inner))
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x80, 0x30000) if unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c))]
+    n_left = 0
+    for _ in range(30_000):
+        text = "".join(rng.choice([rng.choice("aeK& ;#"), chr(rng.randrange(0x80, 0x600)), chr(rng.randrange(0x900, 0xD7FF)), rng.choice(marks)]) for _ in range(rng.randint(1, 5)))
+        if not pattern.search(text):
+            n_left += 1
+            assert composed(text) == text
+    assert n_left > 1000
+    assert not pattern.search("Café Ñandú ß & co") and pattern.search("e\u0301") and pattern.search("&eacute;")
+
+
+def test_clean_texts_need_no_python(spark):
+    from reelloom.functions.normal import with_composed
+
+    made = spark.createDataFrame([(1, "Café & ß"), (2, "Cafe\u0301 &eacute;"), (3, None), (4, "plain")], "k int, t string")
+    assert {r.k: r.u for r in with_composed(made, "t", "u").collect()} == {1: "Café & ß", 2: "Café é", 3: None, 4: "plain"}
