@@ -86,7 +86,7 @@ def picked(spark: SparkSession, sf_dir: str) -> int | None:
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every work compared with the pick. The pick's id comes first and alone, so that one order's rows are read for it and all works are built once."""
-    keyed = cmp.with_keys(star(spark, sf_dir))
+    keyed = star(spark, sf_dir, keyed=True)
     hidden = cut(keyed.filter(F.col("movie_id") == F.lit(picked(spark, sf_dir))))
     return cmp.compare(cmp.side(keyed, "g").join(F.broadcast(cmp.side(hidden, "m")), how="cross"))  # one row
 
