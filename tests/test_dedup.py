@@ -94,3 +94,11 @@ def test_release_dates_queues_and_hits(spark):
     assert [r.seq for r in dedup.enqueue(rows.filter("url = 'b'"), rows, "url").collect()] == [1]
     hits = spark.createDataFrame([("q", 1, "List of 1999"), ("q", 2, "Telugu films of 2000"), ("q", 3, "telugu 2000")], "query string, rank int, title string")
     assert dedup.first_hit(hits, F.lit(2000), "Telugu").first().title == "Telugu films of 2000"
+
+
+def test_upsert_joins_once(spark):
+    """New ids, the largest id and the rows all come from one kept join."""
+    old = spark.range(5).selectExpr("id", "cast(id as string) AS k")
+    done = dedup.upsert(old, spark.range(3, 9).selectExpr("id", "cast(id as string) AS k"), ["k"], "id")
+    assert "FullOuter" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.k, r.action) for r in done.collect())[3:] == [(3, "3", "updated"), (4, "4", "updated"), (5, "5", "inserted"), (6, "6", "inserted"), (7, "7", "inserted"), (8, "8", "inserted")]
