@@ -47,6 +47,7 @@ YEAR_WORD = r"\b(?:19|20)\d{2}\b"
 WHITE = r"(?U)\s+"
 #: Short texts that cleaning leaves alone: the plainest characters, with single spaces between words.
 PLAIN, SHORT = r"\A(?:[\w#.'/]++(?: [\w#.'/]++)*+)?\z", 200
+WORDS = r"\A\w++(?: \w++)*+\z"
 MARKED = r"[^\x00-\x7F]"
 
 
@@ -176,8 +177,9 @@ def key(c: Column) -> Column:
 
 
 def label_key(c: Column) -> Column:
-    """C9."""
-    return squeezed(stripped(F.translate(F.lower(clean_text(c)), ":", " "), " ."))
+    """C9; words with single spaces between them, as most labels are, only lose their capitals."""
+    whole = lambda x: squeezed(stripped(F.translate(F.lower(clean_text(x)), ":", " "), " ."))
+    return bound(c, lambda x: F.when(x.rlike(WORDS), F.lower(x)).otherwise(whole(x)))
 
 
 def display_title(c: Column) -> Column:

@@ -160,3 +160,13 @@ def test_clean_texts_need_no_python(spark):
 
     made = spark.createDataFrame([(1, "Café & ß"), (2, "Cafe\u0301 &eacute;"), (3, None), (4, "plain")], "k int, t string")
     assert {r.k: r.u for r in with_composed(made, "t", "u").collect()} == {1: "Café & ß", 2: "Café é", 3: None, 4: "plain"}
+
+
+def test_labels_of_plain_words(spark):
+    """A label of words with single spaces only loses its capitals; any other is cleaned in full."""
+    words = ["Production house", "a_1", "X", "TITLE 2"]
+    other = ["", " a", "a ", "a  b", "a:b", "a.b.", "Sta\u00f1r", "a\u00a0b", "a\n", "a &amp; b", "Cast[1]", None]
+    df = spark.createDataFrame([(x,) for x in [*words, *other]], "c string")
+    got = df.select("c", F.col("c").rlike(tx.WORDS).alias("plain"), tx.label_key(F.col("c")).alias("k")).collect()
+    assert [r.k for r in got if r.plain] == [x.lower() for x in words]
+    assert [r.k for r in got if not r.plain] == ["", "a", "a", "a b", "a b", "a.b", "sta\u00f1r", "a b", "a", "a & b", "cast", ""]
