@@ -41,6 +41,17 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got.collect(), got.columns) == rows(want.fetchall(), names)
 
 
+def test_titles_of_odd_headings_equal_the_sql(spark, duck, tmp_path):
+    inner = ["&quot;a&quot;", "a&amp", "&amp;lt;b&amp;gt;", "&nbsp;c&#39;s&nbsp;", "A (2021 film)", "", " \t<b>x</b>\x0b\f y ", "\u00a0z\u2003", "\u0085a\u2028", "–· q |;", "<sup>[1]</sup>n [2]", "< b", "a > b", None]
+    pages = [None if x is None else f"<h1 class='k'>{x}</h1><h1>second</h1>" for x in inner]
+    pages += ["", "no heading", "<h1>open", "<H1>capitals</H1>", "<!-- <h1>noted</h1> --><h1>shown</h1>", "<h1>a\n<h1>b</h1>", "<h1/>c</h1>", "<h1 x='>'>d</h1>"]
+    schema = "page_id long, url string, html string"
+    spark.createDataFrame([(k, f"u{k}", html) for k, html in enumerate(pages)], schema).write.parquet(f"{tmp_path}/pages.parquet")
+    want = duck.execute(f"WITH pages AS (FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')) {entry.oracle_sql()['x19_titles']}").fetchall()
+    got = entry.queries()["x19_titles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == len(pages)
+
+
 def test_flagship(spark):
     if not FOLDER.exists():
         pytest.skip("no driver tables here")
